@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -25,6 +26,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Folders written by operators since the last ``drop_scratch``.
+scratch: list[str] = []
+
+
+def released(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished queries now, not when the driver happens to collect."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Removes what operators have stored; only for callers whose results are all written already."""
+    while scratch:
+        _remove(spark, scratch.pop())
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -39,4 +56,6 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_dir(spark)}/corvane/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
+    scratch.append(path)
+    released(spark)
     return spark.read.schema(df.schema).parquet(path)

@@ -25,6 +25,18 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.suffix_tree import score
+
+    return score(_documents(spark, sf_dir))
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.substring_dedup import dedup
+
+    return dedup(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.language_id import fit, predict
 
@@ -73,4 +85,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("tag").alias("doc_id"), "n_tokens", "ended")
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_packing, op5_tiff, op7_license_scan, op8_quality_rules, op9_bpe_codec, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_suffix_tree, op2_substring_dedup, op3_language_id, op4_packing, op5_tiff, op7_license_scan, op8_quality_rules, op9_bpe_codec, op10_token_counts)}
