@@ -58,6 +58,12 @@ def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.near_duplicates import join
+
+    return join(_documents(spark, sf_dir))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.license_scan import fit, scan
 
@@ -85,4 +91,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("tag").alias("doc_id"), "n_tokens", "ended")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_tree, op2_substring_dedup, op3_language_id, op4_packing, op5_tiff, op7_license_scan, op8_quality_rules, op9_bpe_codec, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_suffix_tree, op2_substring_dedup, op3_language_id, op4_packing, op5_tiff, op6_jaccard_join, op7_license_scan, op8_quality_rules, op9_bpe_codec, op10_token_counts)}
