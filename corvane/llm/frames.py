@@ -11,9 +11,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Just the key and the text; other columns, whatever their names, stay out of the operators."""
-    return docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+def texts(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
+    """Just the key and the text; other columns, whatever their names, stay out of the operators.
+
+    With ``whole``, all columns of the row go along as the struct ``row``.
+    """
+    own = [F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")]
+    return docs.select(*own, *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if whole else []))
+
+
+def with_row(frame: DataFrame, schema: str) -> str:
+    """``schema`` with the struct ``row`` of a frame made by ``texts``, if it has one."""
+    return schema + (f", row {frame.schema['row'].dataType.simpleString()}" if "row" in frame.columns else "")
+
+
+def row_of(batch) -> tuple[list, list]:
+    """The column ``row`` of a batch and its name, as lists that are empty if it has none."""
+    return ([batch.column("row")], ["row"]) if "row" in batch.schema.names else ([], [])
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,12 +64,16 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """The rows written to the shared folder and read back: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, what: str, keep: bool = False) -> DataFrame:
+    """The rows written to the shared folder and read back: cuts lineage, survives lost executors.
+
+    With ``keep``, ``drop_scratch`` leaves them until the program ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corvane/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    scratch.append(path)
+    if not keep:
+        scratch.append(path)
     released(spark)
     return spark.read.schema(df.schema).parquet(path)

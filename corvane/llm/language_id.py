@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import words as W
-from corvane.llm.frames import texts
+from corvane.llm.frames import row_of, texts, with_row
 
 #: Families of languages by ISO 639-1 code (fixed values); any other language is a family of its own.
 FAMILIES = {
@@ -169,6 +169,11 @@ def classify(model: Model, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out, score
 
 
+def in_training(key: str = "doc_id"):
+    """Whether a document may be learned from: crc32 of its id as text, modulo 4, isn't 2."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % 4 != 2
+
+
 def has_letter(column, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     letter = ((buf | 32) >= 97) & ((buf | 32) <= 122)
     total = np.concatenate([[0], np.cumsum(letter)])
@@ -178,12 +183,14 @@ def has_letter(column, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return found
 
 
-def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """(doc_id, lang_pred, score) of every whole text.
 
     ``und`` with score 0 for a null text, one without a letter, or a model without languages.
-    Repeated rows give repeated rows; equal texts get equal predictions.
+    Repeated rows give repeated rows; equal texts get equal predictions.  ``whole`` adds the input row
+    as the struct ``row``.
     """
+    docs = texts(docs, key, text, whole)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -204,6 +211,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
                 margins[k] = (total[stop] - total[np.minimum(start, len(grams))]) / np.maximum(n, 1) + bias[k]
             lang, score = classify(m, margins) if m.families else (np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows))
             lang = np.where(known, lang, len(names) - 1)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names[lang].tolist(), pa.string()), pa.array(np.where(known, score, 0.0))], ["doc_id", "lang_pred", "score"])
+            row, name = row_of(b)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names[lang].tolist(), pa.string()), pa.array(np.where(known, score, 0.0)), *row], ["doc_id", "lang_pred", "score", *name])
 
-    return texts(docs, key, text).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.mapInArrow(run, with_row(docs, "doc_id long, lang_pred string, score double"))

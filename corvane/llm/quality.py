@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import words as W
-from corvane.llm.frames import texts
+from corvane.llm.frames import row_of, texts, with_row
 
 #: Buckets of the hashed n-grams: both tables together are 1 MB, whatever the corpus.
 BUCKETS = 1 << 16
@@ -138,15 +138,15 @@ def statistics(column) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, np.ndar
 RESULT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double"
 
 
-def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
+def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """Statistics, likelihood-ratio score and verdict of every document.
 
     ``trusted`` has the doc_ids of trusted documents, of which the target sample is drawn.  A null or empty text has no words and fails; a
     text shorter than an n-gram scores 0.  Without trusted documents every score is 0.  Repeated rows
-    give repeated rows, equal texts equal scores.
+    give repeated rows, equal texts equal scores.  ``whole`` adds the input row as the struct ``row``.
     """
-    docs = texts(docs, key, text)
-    slices = sorted(gram_counts(docs, target_ids(trusted)).collect(), key=lambda r: r[0])  # SLICES rows of fixed size
+    docs = texts(docs, key, text, whole)
+    slices = sorted(gram_counts(docs.select("doc_id", "text"), target_ids(trusted)).collect(), key=lambda r: r[0])  # SLICES rows of fixed size
     if slices:
         raw, target = (np.concatenate([np.frombuffer(r[k], np.int64) for r in slices]) for k in (1, 2))
     else:
@@ -160,6 +160,7 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, key
             score = _sums(table.value.take(gram_buckets(buf)), start, n) / np.maximum(n, 1)
             failed = (stats["n_words"] < 50) | (100 * stats["n_repeat_words"] > 50 * stats["n_words"])
             kept = ~failed & (score >= threshold)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, pa.int64()) for x in stats.values()), pa.array(failed), pa.array(kept), pa.array(score)], ["doc_id", *stats, "base_failed", "kept", "score"])
+            row, name = row_of(b)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, pa.int64()) for x in stats.values()), pa.array(failed), pa.array(kept), pa.array(score), *row], ["doc_id", *stats, "base_failed", "kept", "score", *name])
 
-    return docs.mapInArrow(run, RESULT)
+    return docs.mapInArrow(run, with_row(docs, RESULT))

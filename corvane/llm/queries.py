@@ -38,13 +38,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from corvane.llm.language_id import fit, predict
+    from corvane.llm.language_id import fit, in_training, predict
 
     docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
-    model = fit(docs.where(~held_out))
+    model = fit(docs.where(in_training()))
     rows = predict(docs.select("doc_id", "text"), model)
-    return rows.withColumn("held_out", held_out).select("doc_id", "held_out", "lang_pred", "score")
+    return rows.withColumn("held_out", ~in_training()).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
