@@ -155,8 +155,8 @@ def ask(chunks: DataFrame, replies: DataFrame | None, number: int, keys_of: Ask,
     """One pass: asks about every chunk's keys and returns the stored replies of pass ``number``.
 
     ``keys_of`` gives a chunk's keys, sorted and distinct, and arrays of numbers with one entry per
-    key; ``ops`` says how the numbers of chunks are combined: ``sum``, ``min``, ``max`` or ``same``
-    (whether all are equal).  Keys are below 2 ** ``bits``; fewer bits take less to send.  The rows'
+    key; ``ops`` says how the numbers of chunks are combined: ``sum``, ``min``, ``max``, ``same``
+    (whether all are equal) or ``least at max`` (the least where the number before is greatest).  Keys are below 2 ** ``bits``; fewer bits take less to send.  The rows'
     ``n_keys`` and ``total`` add up to the distinct keys with a positive first number and to the sum
     of those numbers.
     """
@@ -208,8 +208,12 @@ def ask(chunks: DataFrame, replies: DataFrame | None, number: int, keys_of: Ask,
             v = np.concatenate([p[1][k] for p in parts])
             wide = v.astype(np.float64) if v.dtype.kind == "f" else v.astype(np.int64)
             wide = wide[order]
-            reduce = {"sum": np.add, "min": np.minimum, "max": np.maximum, "same": np.minimum}[op].reduceat
+            reduce = {"sum": np.add, "min": np.minimum, "max": np.maximum, "same": np.minimum}.get(op, np.minimum).reduceat
             r = reduce(wide, at)
+            if op == "least at max":  # the least of those where the number before is greatest
+                best = before == np.maximum.reduceat(before, at)[group[order]]
+                r = np.minimum.reduceat(np.where(best, wide, np.iinfo(np.int64).max), at)
+            before = wide
             if op == "same":
                 r = r == np.maximum.reduceat(wide, at)
             if not k:

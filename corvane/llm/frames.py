@@ -50,10 +50,12 @@ def released(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Removes what operators have stored; only for callers whose results are all written already."""
-    while scratch:
-        _remove(spark, scratch.pop())
+def drop_scratch(spark: SparkSession, since: int = 0, but_last: int = 0) -> None:
+    """Removes what operators have stored since then; only where nothing unwritten still reads it."""
+    gone = scratch[since : len(scratch) - but_last]
+    scratch[since : len(scratch) - but_last] = []
+    for path in gone:
+        _remove(spark, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

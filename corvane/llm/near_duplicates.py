@@ -5,7 +5,7 @@ band or in neighbouring ones.  For a band, the domain of shingles is partitioned
 parts than two such sets can differ in; then some part's elements are equal and not empty in both,
 and its hash is a signature that both share.  Of its signatures a set needs only the rarest, one more
 than the elements it may differ in, since one of those is shared already.  Candidates are joined to
-the least document of their signature and compared exactly; signatures whose documents aren't in one
+the most central document of their signature and compared exactly; signatures whose documents aren't in one
 component by then have the remaining pairs compared too, so no link is lost.
 """
 
@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 from corvane.llm import words as W
 from corvane.llm.components import components
 from corvane.llm.exchange import Chunk, Replies, ask, chunked, n_groups, visit
-from corvane.llm.frames import stored
+from corvane.llm.frames import drop_scratch, scratch, stored
 
 SHINGLE = 5
 #: Similarity of a link as a fraction.
 ALIKE = (3, 4)
 SIG_BITS = 48
+#: 64-bit words of a set's parity sketch: where two sketches differ, the sets differ at least as often.
+SKETCH = 8
 
 
 def shingle_sets(chunk: Chunk, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -133,55 +135,75 @@ def _pass0(chunk: Chunk, _: Replies):
 
 
 def _used(chunk: Chunk, replies: Replies):
-    """(sets, owner of each signature in use, index of its key, keys)."""
+    """(sets, owner of each signature in use, index of its key, keys, how central each document is).
+
+    A document is the more central the more documents share its signatures; among edited copies of one
+    text that is the text itself, to which all copies are linked, though not to each other.
+    """
     s = _Signed(chunk)
     got = replies[0]
     use = s.rarest(got[1]) if got is not None else np.zeros(0, np.int64)
     keys, index = np.unique(s.sig[use], return_inverse=True)
-    return s, s.owner[use], index, keys
+    owner = s.owner[use]
+    shared = got[1][s.index[use]].astype(np.float64) if got is not None else np.zeros(0)
+    central = np.bincount(owner, weights=shared, minlength=len(chunk.ids)).astype(np.int64)
+    return s, owner, index, keys, central
 
 
 def _pass1(chunk: Chunk, replies: Replies):
-    _, owner, index, keys = _used(chunk, replies)
-    least = np.full(len(keys), np.iinfo(np.int64).max)
-    np.minimum.at(least, index, chunk.ids[owner])
-    return keys, (np.bincount(index, minlength=len(keys)), least)
+    _, owner, index, keys, central = _used(chunk, replies)
+    order = np.lexsort((chunk.ids[owner], -central[owner], index))
+    lead = owner[order[np.searchsorted(index[order], np.arange(len(keys)))]]
+    return keys, (np.bincount(index, minlength=len(keys)), central[lead], chunk.ids[lead])
 
 
-NODES = "doc_id long, rep long, n_shingles long, shingles binary, leaders array<long>, sigs array<long>"
+NODES = "doc_id long, rep long, n_shingles long, shingles binary, leaders array<long>, sigs array<long>, sketch array<long>"
 
 
 def _nodes(chunk: Chunk, replies: Replies) -> pa.Table:
     """A row per document; representatives with a candidate carry their set, its leaders and signatures."""
-    s, owner, index, keys = _used(chunk, replies)
+    s, owner, index, keys, _ = _used(chunk, replies)
     got, n = replies[1], len(chunk.ids)
     leaders, sigs = [None] * n, [None] * n
     shingles: list[bytes | None] = [None] * n
+    sketch: list = [None] * n
     if got is not None and len(owner):
         shared = got[1][index] >= 2
         o, i = owner[shared], index[shared]
         order = np.argsort(o, kind="stable")
         o, i = o[order], i[order]
         at = np.flatnonzero(np.concatenate([np.ones(min(1, len(o)), bool), o[1:] != o[:-1]]))
+        bit = s.doc * (64 * SKETCH) + (W.mix(s.gram ^ np.uint64(0xC3C3C3C3C3C3C3C3)) % np.uint64(64 * SKETCH)).astype(np.int64)
+        parity = np.packbits(np.bincount(bit, minlength=n * 64 * SKETCH).astype(np.uint8) & 1).view(np.int64).reshape(n, SKETCH)
         for a, b in zip(at.tolist(), [*at[1:].tolist(), len(o)]):
             d = int(o[a])
-            lead = np.unique(got[2][i[a:b]])
+            lead = np.unique(got[3][i[a:b]])
             leaders[d] = lead[lead != chunk.ids[d]].tolist()
             sigs[d] = keys[np.unique(i[a:b])].astype(np.int64)
+            sketch[d] = parity[d].tolist()
             shingles[d] = s.gram[s.start[d] : s.start[d + 1]].tobytes()
     rep = chunk.ids[s.rep] if n else chunk.ids
     return pa.table({
         "doc_id": pa.array(chunk.ids, pa.int64()), "rep": pa.array(rep, pa.int64()), "n_shingles": pa.array(s.m, pa.int64()), "shingles": pa.array(shingles, pa.binary()),
-        "leaders": pa.array(leaders, pa.list_(pa.int64())), "sigs": pa.array(sigs, pa.list_(pa.int64())),
+        "leaders": pa.array(leaders, pa.list_(pa.int64())), "sigs": pa.array(sigs, pa.list_(pa.int64())), "sketch": pa.array(sketch, pa.list_(pa.int64())),
     })
 
 
+def _may_link(a: str, b: str):
+    """Whether sets can be linked going by their sizes and sketches; false only if they certainly aren't."""
+    num, den = ALIKE
+    n_a, n_b = F.col(f"n_{a}"), F.col(f"n_{b}")
+    differ = sum((F.bit_count(F.get(f"sk_{a}", F.lit(i)).bitwiseXOR(F.get(f"sk_{b}", F.lit(i)))) for i in range(SKETCH)), F.lit(0))
+    return (n_a * den >= n_b * num) & (n_b * den >= n_a * num) & (differ * (den + num) <= (n_a + n_b) * (den - num))
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, alike=ALIKE) -> DataFrame:
     """The pairs (a, b) whose sets are alike enough, compared element by element."""
     num, den = alike
-    one = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("shingles").alias("s_b")), "b")
-    two = one.join(sets.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("shingles").alias("s_a")), "a")
-    near = two.where((F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num)).select("a", "b", "s_a", "s_b")
+    brief = lambda c: sets.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sk_{c}"))
+    full = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s_{c}"))
+    near = stored(pairs.join(brief("b"), "b").join(brief("a"), "a").where(_may_link("a", "b")).select("a", "b"), "near")
+    near = near.join(full("b"), "b").join(full("a"), "a").select("a", "b", "s_a", "s_b")
 
     def compare(batches):
         for b in batches:
@@ -202,12 +224,14 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     A text without words has no shingles and stands alone.  Rows without an id are left out; rows that
     repeat an id are one node, and each gives a row.
     """
+    spark, before = docs.sparkSession, len(scratch)
     chunks = chunked(docs, key, text)
     groups = n_groups(chunks)
     r0 = ask(chunks, None, 0, _pass0, ["sum"], groups, SIG_BITS)
-    r1 = ask(chunks, r0, 1, _pass1, ["sum", "min"], groups, SIG_BITS)
+    r1 = ask(chunks, r0, 1, _pass1, ["sum", "max", "least at max"], groups, SIG_BITS)
     nodes = stored(visit(chunks, r0.unionByName(r1), _nodes, NODES), "nodes")
-    sets = nodes.where("shingles is not null").select("doc_id", "n_shingles", "shingles").dropDuplicates(["doc_id"])
+    drop_scratch(spark, before, but_last=1)  # the texts and replies aren't needed any more
+    sets = nodes.where("shingles is not null").select("doc_id", "n_shingles", "shingles", "sketch")
     first = nodes.where("leaders is not null").select(F.explode("leaders").alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct()
     tried = stored(first, "pairs")
     links = stored(_linked(tried, sets), "links")
@@ -216,10 +240,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     member = nodes.where("sigs is not null").select(F.col("doc_id").alias("node"), F.explode("sigs").alias("sig"), "n_shingles").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     member = stored(member, "members")
     mixed = member.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("sig")
-    left = stored(member.join(mixed, "sig", "left_semi"), "open")
-    other = left.select("sig", *(F.col(c).alias(f"{c}_2") for c in ("node", "label", "n_shingles")))
-    num, den = ALIKE
-    pairs = left.join(other, "sig").where((F.col("label") < F.col("label_2")) & (F.col("n_shingles") * den >= F.col("n_shingles_2") * num) & (F.col("n_shingles_2") * den >= F.col("n_shingles") * num))
+    open_ = member.join(mixed, "sig", "left_semi").join(sets.select(F.col("doc_id").alias("node"), F.col("sketch").alias("sk_a")), "node")
+    left = stored(open_.withColumnRenamed("n_shingles", "n_a"), "open")
+    other = left.select("sig", F.col("node").alias("node_2"), F.col("label").alias("label_2"), F.col("n_a").alias("n_b"), F.col("sk_a").alias("sk_b"))
+    pairs = left.join(other, (left["sig"] == other["sig"]) & (F.col("label") < F.col("label_2")) & _may_link("a", "b"))
     pairs = pairs.select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")).distinct()
     pairs = pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = stored(_linked(pairs, sets), "links")
