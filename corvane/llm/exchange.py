@@ -89,18 +89,42 @@ def chunked(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     return spark.table(name)
 
 
-def _shrink(a: np.ndarray) -> np.ndarray:
-    if a.dtype.kind in "iu" and len(a) and a.min() >= 0:
-        return a.astype(np.min_scalar_type(int(a.max())))
-    return a
+def _shrink(a: np.ndarray):
+    """The array in few bytes: bits for booleans, and small numbers with the few large ones listed apart."""
+    if a.dtype.kind == "b":
+        return ("bits", len(a), np.packbits(a))
+    if a.dtype.kind not in "iu" or not len(a) or a.min() < 0:
+        return a
+    best = None
+    for kind in (np.uint8, np.uint16, np.uint32):
+        if a.itemsize <= kind().itemsize:
+            break
+        over = np.flatnonzero(a >= np.iinfo(kind).max)
+        cost = len(a) * kind().itemsize + len(over) * (4 + a.itemsize)
+        if cost < len(a) * a.itemsize and (best is None or cost < best[0]):
+            best = (cost, kind, over)
+    if best is None:
+        return a
+    small = np.minimum(a, np.iinfo(best[1]).max).astype(best[1])
+    return ("most", small, best[2].astype(np.uint32), a[best[2]], a.dtype.str)
+
+
+def _expand(x) -> np.ndarray:
+    if isinstance(x, np.ndarray):
+        return x
+    if x[0] == "bits":
+        return np.unpackbits(x[2], count=x[1]).astype(bool)
+    out = x[1].astype(x[4])
+    out[x[2]] = x[3]
+    return out
 
 
 def _dump_keys(keys: np.ndarray) -> tuple:
-    step = np.diff(keys)
-    return (int(keys[0]), _shrink(step))
+    return (int(keys[0]), _shrink(np.diff(keys)))
 
 
-def _load_keys(first: int, step: np.ndarray) -> np.ndarray:
+def _load_keys(first: int, step) -> np.ndarray:
+    step = _expand(step)
     out = np.empty(len(step) + 1, np.uint64)
     out[0] = first
     np.cumsum(step, out=out[1:])
@@ -129,7 +153,7 @@ class Replies:
 
     def __getitem__(self, k: int) -> tuple[np.ndarray, ...] | None:
         parts = self.found.get(k)
-        return None if parts is None else tuple(np.concatenate(x) for x in zip(*parts))
+        return None if parts is None else tuple(np.concatenate([_expand(y) for y in x]) for x in zip(*parts))
 
 
 def visit(chunks: DataFrame, replies: DataFrame | None, f: Callable[[Chunk, Replies], pa.Table], schema: str) -> DataFrame:
@@ -192,8 +216,10 @@ def ask(chunks: DataFrame, replies: DataFrame | None, number: int, keys_of: Ask,
     def combine(t: pa.Table) -> pa.Table:
         t = t.sort_by("chunk")
         parts = [pickle.loads(x.as_py()) for x in t.column("body")]
-        size = [len(p[0][1]) + 1 for p in parts]
-        keys = np.concatenate([_load_keys(*p[0]) for p in parts])
+        each = [_load_keys(*p[0]) for p in parts]
+        size = [len(x) for x in each]
+        keys = np.concatenate(each)
+        del each
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
         new = np.concatenate([[True], keys[1:] != keys[:-1]])
@@ -205,7 +231,7 @@ def ask(chunks: DataFrame, replies: DataFrame | None, number: int, keys_of: Ask,
         first[order[at]] = True
         answers, n_keys, total = [], len(at), 0.0
         for k, op in enumerate(ops):
-            v = np.concatenate([p[1][k] for p in parts])
+            v = np.concatenate([_expand(p[1][k]) for p in parts])
             wide = v.astype(np.float64) if v.dtype.kind == "f" else v.astype(np.int64)
             wide = wide[order]
             reduce = {"sum": np.add, "min": np.minimum, "max": np.maximum, "same": np.minimum}.get(op, np.minimum).reduceat
@@ -222,7 +248,7 @@ def ask(chunks: DataFrame, replies: DataFrame | None, number: int, keys_of: Ask,
         bodies, a = [], 0
         for n in size:
             mine = group[a : a + n]
-            bodies.append(pickle.dumps((first[a : a + n], *(_shrink(r[mine]) for r in answers)), 5))
+            bodies.append(pickle.dumps((_shrink(first[a : a + n]), *(_shrink(r[mine]) for r in answers)), 5))
             a += n
         rest = [0] * (len(parts) - 1)
         return pa.table({"chunk": t.column("chunk"), "pass": pa.array([number] * len(parts), pa.int32()), "grp": t.column("grp"), "body": pa.array(bodies, pa.binary()), "n_keys": pa.array([n_keys, *rest], pa.int64()), "total": pa.array([total, *map(float, rest)])})

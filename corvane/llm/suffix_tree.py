@@ -25,6 +25,9 @@ from corvane.llm.exchange import Chunk, Replies, ask, chunked, n_groups, visit
 MIN_CONTEXT, DIVERGENCE = 32, 0.02
 #: Occurrences added to what a state leaves to its suffix's distribution.
 PRIOR = 4.0
+#: Bytes of text up to which 48 bits name an event; then 64.  Two events with one name in 10 ** 7, say,
+#: count as one.
+SHORT_NAMES = 1 << 36
 END = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -59,9 +62,9 @@ def _count(index: np.ndarray, n: int, weight: np.ndarray) -> np.ndarray:
 class _Events:
     """Events of one order at the positions where they may matter, and their keys."""
 
-    def __init__(self, tokens: _Tokens, order: int, at: np.ndarray):
+    def __init__(self, tokens: _Tokens, order: int, at: np.ndarray, bits: int):
         self.at = at
-        key = W.grams(tokens.hash, order + 1, at=at - order)
+        key = W.grams(tokens.hash, order + 1, at=at - order) >> np.uint64(64 - bits)
         self.keys, self.first, self.index = np.unique(key, return_index=True, return_inverse=True)
         self.train = _count(self.index, len(self.keys), tokens.train[at])
 
@@ -69,16 +72,16 @@ class _Events:
 class _View:
     """What a chunk knows after the passes so far."""
 
-    def __init__(self, chunk: Chunk, replies: Replies, total: float, words: int):
+    def __init__(self, chunk: Chunk, replies: Replies, total: float, words: int, bits: int):
         self.t = t = _Tokens(chunk)
         got = replies[0]
         self.c = got[1][t.index].astype(np.int64) if got is not None else np.zeros(len(t.hash), np.int64)
         self.p0 = (self.c + 1) / (total + words + 1)
         at = t.at(1)
-        self.e1 = _Events(t, 1, at[(self.c[at - 1] >= MIN_CONTEXT) & (self.c[at] >= 2)])
+        self.e1 = _Events(t, 1, at[(self.c[at - 1] >= MIN_CONTEXT) & (self.c[at] >= 2)], bits)
         self.c1 = self._spread(self.e1, replies[1])
         at = t.at(2)
-        self.e2 = _Events(t, 2, at[(self.c1[at - 1] >= MIN_CONTEXT) & (self.c1[at] >= 2)])
+        self.e2 = _Events(t, 2, at[(self.c1[at - 1] >= MIN_CONTEXT) & (self.c1[at] >= 2)], bits)
         self.c2 = self._spread(self.e2, replies[2])
         self.p1, self.own1 = self._state(1, self.c, self.c1, self.p0, replies[3], self.e1)
         self.p2, self.own2 = self._state(2, self.c1, self.c2, self.p1, replies[4], self.e2)
@@ -140,6 +143,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """
     chunks = chunked(docs, key, text)
     groups = n_groups(chunks)
+    bits = 48 if chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0] < SHORT_NAMES else 64
 
     def words_of(chunk, _):
         t = _Tokens(chunk)
@@ -150,7 +154,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
     def events_of(order):
         def keys_of(chunk, replies):
-            v = _View(chunk, replies, total, words)
+            v = _View(chunk, replies, total, words, bits)
             e = v.e1 if order == 1 else v.e2
             return e.keys, (e.train,)
 
@@ -159,19 +163,19 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     def contexts_of(order):
         def keys_of(chunk, replies):
             got = replies[order]
-            return _View(chunk, replies, total, words).evidence(order, got[0] if got is not None else np.zeros(0, bool))
+            return _View(chunk, replies, total, words, bits).evidence(order, got[0] if got is not None else np.zeros(0, bool))
 
         return keys_of
 
-    r1 = ask(chunks, r0, 1, events_of(1), ["sum"], groups)
+    r1 = ask(chunks, r0, 1, events_of(1), ["sum"], groups, bits)
     r01 = r0.unionByName(r1)
-    r2 = ask(chunks, r01, 2, events_of(2), ["sum"], groups)
+    r2 = ask(chunks, r01, 2, events_of(2), ["sum"], groups, bits)
     r3 = ask(chunks, r01, 3, contexts_of(1), ["sum", "sum", "sum"], groups)
     known = r01.unionByName(r2).unionByName(r3)
     r4 = ask(chunks, known, 4, contexts_of(2), ["sum", "sum", "sum"], groups)
 
     def final(chunk: Chunk, replies: Replies) -> pa.Table:
-        v = _View(chunk, replies, total, words)
+        v = _View(chunk, replies, total, words, bits)
         t = v.t
         per = lambda x=None: np.bincount(t.doc, weights=x, minlength=t.n)
         return pa.table({
