@@ -21,8 +21,11 @@ from pyspark.sql import functions as F
 from corvane.llm import words as W
 from corvane.llm.exchange import Chunk, Replies, ask, chunked, n_groups, visit
 
-#: Least training occurrences of a context, and least mean divergence (nats) of a state from its suffix.
-MIN_CONTEXT, DIVERGENCE = 32, 0.02
+#: Least training occurrences of a context, and its least share of the training tokens; the share keeps
+#: the part of the corpus that contexts cover the same at every size.
+MIN_CONTEXT, MIN_SHARE = 32, 4e-6
+#: Least mean divergence (nats) of a state from its suffix.
+DIVERGENCE = 0.02
 #: Occurrences added to what a state leaves to its suffix's distribution.
 PRIOR = 4.0
 #: Bytes of text up to which 48 bits name an event; then 64.  Two events with one name in 10 ** 7, say,
@@ -74,14 +77,15 @@ class _View:
 
     def __init__(self, chunk: Chunk, replies: Replies, total: float, words: int, bits: int):
         self.t = t = _Tokens(chunk)
+        self.least = least = max(MIN_CONTEXT, MIN_SHARE * total)
         got = replies[0]
         self.c = got[1][t.index].astype(np.int64) if got is not None else np.zeros(len(t.hash), np.int64)
         self.p0 = (self.c + 1) / (total + words + 1)
         at = t.at(1)
-        self.e1 = _Events(t, 1, at[(self.c[at - 1] >= MIN_CONTEXT) & (self.c[at] >= 2)], bits)
+        self.e1 = _Events(t, 1, at[(self.c[at - 1] >= least) & (self.c[at] >= 2)], bits)
         self.c1 = self._spread(self.e1, replies[1])
         at = t.at(2)
-        self.e2 = _Events(t, 2, at[(self.c1[at - 1] >= MIN_CONTEXT) & (self.c1[at] >= 2)], bits)
+        self.e2 = _Events(t, 2, at[(self.c1[at - 1] >= least) & (self.c1[at] >= 2)], bits)
         self.c2 = self._spread(self.e2, replies[2])
         self.p1, self.own1 = self._state(1, self.c, self.c1, self.p0, replies[3], self.e1)
         self.p2, self.own2 = self._state(2, self.c1, self.c2, self.p1, replies[4], self.e2)
@@ -95,7 +99,7 @@ class _View:
     def contexts(self, order: int, context: np.ndarray):
         """(positions, keys, first position of each key, index) of frequent contexts before each position."""
         at = self.t.at(order)
-        at = at[context[at - 1] >= MIN_CONTEXT]
+        at = at[context[at - 1] >= self.least]
         keys, first, index = np.unique(W.grams(self.t.hash, order, 1, at=at - order), return_index=True, return_inverse=True)
         return at, keys, at[first], index
 
