@@ -17,6 +17,9 @@ import pyarrow as pa
 
 from corvane.llm.words import span_hashes, utf8
 
+#: Bytes of text looked up at once; a longer text is looked up alone.
+AT_ONCE = 4 << 20
+
 #: Distinct pieces whose ids a worker keeps; beyond it the store starts anew (results don't change).
 KEPT_PIECES = 2_000_000
 #: Pieces encoded as one text.
@@ -81,8 +84,21 @@ class Pieces:
         self.keys, self.slot = keys[order], slot[order]
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets) of the texts of a column; null counts as the empty text."""
+        """(ids, offsets) of the texts of a column; null counts as the empty text.
+
+        The index arrays take many times a text's bytes, so a batch is worked on in parts.
+        """
         buf, offs = utf8(column)
+        ids, sizes, a = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)], 0
+        while a < len(offs) - 1:
+            b = max(a + 1, int(np.searchsorted(offs, offs[a] + AT_ONCE, "right")) - 1)
+            found, at = self._part(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+            ids.append(found)
+            sizes.append(np.diff(at))
+            a = b
+        return np.concatenate(ids), np.cumsum(np.concatenate(sizes))
+
+    def _part(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         edge = np.unique(np.concatenate([cuts(buf), offs]))
         start, end = edge[:-1], edge[1:]
         if not len(start):
