@@ -99,7 +99,8 @@ class Pieces:
         return np.concatenate(ids), np.cumsum(np.concatenate(sizes))
 
     def _part(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        edge = np.unique(np.concatenate([cuts(buf), offs]))
+        edge = np.sort(np.concatenate([cuts(buf), offs]), kind="stable")  # two sorted runs
+        edge = edge[np.concatenate([edge[:-1] != edge[1:], [True]])]
         start, end = edge[:-1], edge[1:]
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
