@@ -131,9 +131,14 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int =
                 words = [w for w in t.split() if rng.random() > 0.08] or t.split()
                 lines.append(" ".join(words))
                 labels.append(k)
-    # Documents whose hash is least; a whole text gives one paragraph, chosen by its own hash.
-    chosen = texts(docs, key, text).where("text is not null").orderBy(F.xxhash64("doc_id", F.length("text")), "doc_id").select(F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0).alias("p"), "doc_id")
-    picked = chosen.limit(sample).where(F.size("p") > 0).select(F.get("p", F.pmod(F.xxhash64("doc_id"), F.size("p").cast("long")).cast("int")).alias("line"))
+    # Documents whose hash is least: found by their ids alone, so that no task sorts texts.
+    rows = texts(docs, key, text).where("text is not null")
+    ids = rows.orderBy(F.xxhash64("doc_id", F.length("text")), "doc_id").select("doc_id").limit(sample).distinct()  # at most `sample` rows
+    paragraphs = F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0)
+    chosen = rows.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", paragraphs.alias("p")).where(F.size("p") > 0)
+    # A whole text gives one paragraph, chosen by its own hash; rows that repeat an id give one together.
+    line = F.get("p", F.pmod(F.xxhash64("doc_id"), F.size("p").cast("long")).cast("int"))
+    picked = chosen.groupBy("doc_id").agg(F.min(line).alias("line")).orderBy("doc_id")
     known = [bigrams(t) for v in TEMPLATES.values() for t in v]
     for r in picked.collect():
         own = bigrams(r.line)
@@ -177,7 +182,7 @@ def scan(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
         m = shared.value
         known = {f: [bigrams(t) for t in v] for f, v in TEMPLATES.items()}
         # Only paragraphs whose best family beats unknown need probabilities: score differences decide.
-        for b in batches:
+        for b in (part for batch in batches for part in W.parts(batch)):
             bucket, owner, doc, lo, hi = features(b.column("text"))
             n = len(doc)
             offs = W.utf8(b.column("text"))[1]

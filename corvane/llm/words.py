@@ -42,6 +42,19 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offs[0] : offs[-1]], offs - offs[0]
 
 
+def parts(batch: pa.RecordBatch, column: str = "text", size: int = 4 << 20):
+    """The batch in slices of at most ``size`` bytes of text, or one longer text alone.
+
+    The arrays made for words take many times the text's bytes.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, "right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def lower_ascii(buf: np.ndarray) -> np.ndarray:
     return _LOWER[buf]
 
