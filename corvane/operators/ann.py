@@ -2,8 +2,8 @@
 
 Both are tables.  The inverted file puts every row in the cell of its nearest centre; a search reads
 the cells nearest to its queries.  The graph has edges between near rows of a cell, chosen for
-diversity; a search enters at the best node of a sparse upper layer and widens a beam, a join per
-round.
+diversity; large cells are split into groups, and a search enters every group at the best nodes of a
+sparse upper layer and widens a beam there, a join per round for all groups together.
 """
 
 from __future__ import annotations
@@ -97,13 +97,20 @@ def select_diverse(candidates: DataFrame, m: int) -> DataFrame:
     return candidates.select("node", "other", "distance", "vector").groupBy("node").applyInPandas(choose, "node long, other long, distance double")
 
 
-def build_graph(index: DataFrame, m: int = 16, ef_construction: int = 64, id_col: str = "id", vector: str = "embedding") -> DataFrame:
-    """(node, other): links both ways, from diverse neighbours among the rows of a cell (euclidean).
+def grouped(index: DataFrame, id_col: str = "id") -> DataFrame:
+    """The rows with the ``shard`` of their ``cell`` that they are linked in.
 
     A cell is split by hash into groups of about SHARD rows, so a group's size doesn't grow with the data.
     """
     sizes = index.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(SHARD)).alias("shards"))
-    split = index.join(F.broadcast(sizes), "cell").withColumn("shard", F.pmod(F.xxhash64(id_col), F.col("shards")))
+    return index.join(F.broadcast(sizes), "cell").withColumn("shard", F.pmod(F.xxhash64(id_col), F.col("shards"))).drop("shards")
+
+
+def build_graph(groups: DataFrame, m: int = 16, ef_construction: int = 64, id_col: str = "id", vector: str = "embedding") -> DataFrame:
+    """(cell, shard, node, other): links both ways, from diverse neighbours among the rows of a group (euclidean).
+
+    ``groups`` are rows with a ``cell`` and ``shard`` (see ``grouped``).
+    """
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, x = pdf[id_col].to_numpy(), np.array(pdf[vector].tolist(), np.float64)
@@ -116,34 +123,43 @@ def build_graph(index: DataFrame, m: int = 16, ef_construction: int = 64, id_col
             out += [(ids[lo + i], ids[near[i][c]]) for i in range(len(part)) for c in diverse(x[near[i]], d[i, near[i]], m)]
         return pd.DataFrame(out, columns=["node", "other"], dtype="int64")
 
-    one = split.select("cell", "shard", id_col, vector).groupBy("cell", "shard").applyInPandas(link, "node long, other long")
-    return one.unionByName(one.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct()
+    def linked(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        return link(pdf).assign(cell=key[0], shard=key[1])[["cell", "shard", "node", "other"]]
+
+    kinds = dict(groups.dtypes)
+    one = groups.select("cell", "shard", id_col, vector).groupBy("cell", "shard").applyInPandas(linked, f"cell {kinds['cell']}, shard {kinds['shard']}, node long, other long")
+    return one.unionByName(one.select("cell", "shard", F.col("other").alias("node"), F.col("node").alias("other"))).distinct()
 
 
-def search_graph(rows: DataFrame, edges: DataFrame, queries: DataFrame, k: int, ef: int = 64, m: int = 16, rounds: int = 4, metric: str = "cosine", entries: int = 8, id_col: str = "id", vector: str = "embedding", skip=None) -> DataFrame:
-    """(qid, id, score, rank) by a beam over the graph; ``skip`` rows are walked through but not returned.
+def search_graph(groups: DataFrame, edges: DataFrame, queries: DataFrame, k: int, ef: int = 64, m: int = 16, rounds: int = 4, metric: str = "cosine", entries: int = 8, id_col: str = "id", vector: str = "embedding", skip=None) -> DataFrame:
+    """(qid, id, score, rank) by a beam in every group of the graph; ``skip`` rows are walked through but not returned.
 
-    Layers follow from a hash of the id.  Each query enters at the ``entries`` best nodes of layer 1
-    and above; every round scores the unseen neighbours of its ``ef`` best so far.
+    No edge leaves a group (cell, shard), so each has its own entries and its own ``ef``, and the best
+    of all groups are merged.  Layers follow from a hash of the id.  Each query enters a group at the
+    ``entries`` best of its nodes in layer 1 and above, or of all its nodes if it has none there;
+    every round scores the unseen neighbours of its ``ef`` best so far.
     """
     check_search(k, ef)
     uniform = (F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) + 1) / F.lit(float(1 << 30))
-    points = rows.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), layer_of(uniform, m).alias("layer"))
+    points = groups.select("cell", "shard", F.col(id_col).alias("id"), F.col(vector).alias("v"), layer_of(uniform, m).alias("layer"))
     wanted = queries.select("qid", "q")
-    order = Window.partitionBy("qid").orderBy(best_first(metric), "id")
-    top = lambda f, n: f.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).drop("rank")
-    upper = points.where("layer >= 1")
-    beam = top(upper.crossJoin(F.broadcast(wanted)).select("qid", "id", score(metric, "v", "q").alias("score")), entries)
+    group = ["cell", "shard"]
+    best = (best_first(metric), "id")
+    within, order = Window.partitionBy("qid", *group).orderBy(*best), Window.partitionBy("qid").orderBy(*best)
+    top = lambda f, n: f.withColumn("rank", F.row_number().over(within)).where(F.col("rank") <= n).drop("rank")
+    flat = points.groupBy(group).agg(F.max("layer").alias("highest")).where("highest < 1")
+    upper = points.where("layer >= 1").unionByName(points.join(F.broadcast(flat), group, "left_semi"))
+    beam = top(upper.crossJoin(F.broadcast(wanted)).select("qid", *group, "id", score(metric, "v", "q").alias("score")), entries)
     seen = beam
     for _ in range(rounds):
-        step = beam.join(edges.withColumnRenamed("node", "id"), "id").select("qid", F.col("other").alias("id")).distinct()
-        fresh = step.join(seen.select("qid", "id"), ["qid", "id"], "left_anti")
-        scored = fresh.join(points.select("id", "v"), "id").join(wanted, "qid").select("qid", "id", score(metric, "v", "q").alias("score"))
-        seen = top(seen.unionByName(scored), max(ef, 4 * k)).checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else top(seen.unionByName(scored), max(ef, 4 * k))
+        step = beam.join(edges.withColumnRenamed("node", "id"), [*group, "id"]).select("qid", *group, F.col("other").alias("id")).distinct()
+        fresh = step.join(seen.select("qid", *group, "id"), ["qid", *group, "id"], "left_anti")
+        scored = fresh.join(points.select(*group, "id", "v"), [*group, "id"]).join(wanted, "qid").select("qid", *group, "id", score(metric, "v", "q").alias("score"))
+        seen = top(seen.unionByName(scored), max(ef, 4 * k)).checkpoint() if groups.sparkSession.sparkContext.getCheckpointDir() else top(seen.unionByName(scored), max(ef, 4 * k))
         beam = top(seen, ef)
     if skip is not None:
         seen = seen.join(skip.select("id"), "id", "left_anti")
-    return seen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return seen.select("qid", "id", "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def entry_point(nodes: DataFrame, dead: DataFrame) -> DataFrame:

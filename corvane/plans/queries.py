@@ -306,8 +306,8 @@ def ivf_search(spark, sf_dir):
 @query
 def hnsw_search(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    index = rows.withColumn("cell", F.lit(0))
-    found = ann.search_graph(rows, ann.build_graph(index), probes(spark, sf_dir), 10, ef=64, metric="euclidean")
+    groups = ann.grouped(rows.withColumn("cell", F.lit(0)))
+    found = ann.search_graph(groups, ann.build_graph(groups), probes(spark, sf_dir), 10, ef=64, metric="euclidean")
     return found.select("qid", "id", F.round("score", 5).alias("score"), "rank")
 
 

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from corvane.operators import evaluate, knn
+from corvane.operators import ann, evaluate, knn
 from corvane.plans import oracles, queries
 
 
@@ -39,3 +39,10 @@ def test_recall_of_approximate_search(spark, sf_dir, name, metric):
 
 def test_every_query_but_those_has_sql():
     assert set(queries.QUERIES) - set(oracles.ORACLES) == {"select_neighbors_heuristic", "ivf_search", "hnsw_search"}
+
+
+def test_recall_of_a_graph_of_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD", 100)
+    sf = "/root/testdata/sf0.1"
+    truth = knn.batch(queries.vectors(spark, sf), queries.probes(spark, sf), 10, "euclidean")
+    assert evaluate.recall(queries.QUERIES["hnsw_search"](spark, sf), truth, 10).agg({"recall": "avg"}).first()[0] >= 0.9

@@ -120,3 +120,12 @@ def test_recall_and_empty(spark):
     found = spark.createDataFrame([(1, 11, 1), (1, 10, 2), (2, 99, 1)], "qid long, id long, rank int")
     assert {r.qid: r.recall for r in evaluate.recall(found, truth, 2).collect()} == {1: 1.0, 2: 0.0}
     assert {r.qid: r.recall for r in evaluate.recall(found, truth, 0).collect()} == {1: 1.0, 2: 1.0}
+
+
+def test_every_group_of_a_graph_is_searched(spark):
+    # Cells of a single row have no edge and mostly no upper layer.
+    rows = spark.createDataFrame([(i, i, [float(i), 1.0]) for i in range(30)], "id long, cell int, embedding array<double>")
+    groups = ann.grouped(rows)
+    q = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(0, 30, 7)], "qid long, q array<double>")
+    got = ann.search_graph(groups, ann.build_graph(groups), q, 1, metric="euclidean").collect()
+    assert sorted((r.qid, r.id) for r in got) == [(i, i) for i in range(0, 30, 7)]
