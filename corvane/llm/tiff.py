@@ -66,32 +66,46 @@ def unpackbits(data: bytes) -> bytes:
     return b"".join(out)
 
 
+#: Bits that LZW holds back before it writes bytes, so that its cost is linear in the strip.
+HELD = 512
+
+
 def lzw(data: bytes) -> bytes:
     """Codes of 9 to 12 bits, most significant first, widened one code early as the format asks."""
-    table = {bytes((i,)): i for i in range(256)}
-    bits, n_bits, width, nxt, prefix = 256, 9, 9, 258, b""
+    # The table's keys are a code and the byte that follows it; bits leave in whole bytes once there are HELD.
+    out, table = bytearray(), {}
+    bits, n_bits, width, nxt, prefix = 256, 9, 9, 258, -1
     for x in data:
-        more = prefix + bytes((x,))
-        if more in table:
-            prefix = more
+        if prefix < 0:
+            prefix = x
             continue
-        bits, n_bits = bits << width | table[prefix], n_bits + width
-        table[more] = nxt
+        key = prefix << 8 | x
+        code = table.get(key)
+        if code is not None:
+            prefix = code
+            continue
+        bits, n_bits = bits << width | prefix, n_bits + width
+        table[key] = nxt
         nxt += 1
         if nxt == 4094:
             bits, n_bits = bits << width | 256, n_bits + width
-            table = {bytes((i,)): i for i in range(256)}
+            table = {}
             width, nxt = 9, 258
         elif nxt + 1 > 1 << width:
             width += 1
-        prefix = bytes((x,))
-    if prefix:
-        bits, n_bits = bits << width | table[prefix], n_bits + width
+        if n_bits >= HELD:
+            rest = n_bits % 8
+            out += (bits >> rest).to_bytes(n_bits // 8, "big")
+            bits, n_bits = bits & ((1 << rest) - 1), rest
+        prefix = x
+    if prefix >= 0:
+        bits, n_bits = bits << width | prefix, n_bits + width
         if nxt + 2 > 1 << width and width < 12:
             width += 1
     bits, n_bits = bits << width | 257, n_bits + width
     pad = -n_bits % 8
-    return (bits << pad).to_bytes((n_bits + pad) // 8, "big")
+    out += (bits << pad).to_bytes((n_bits + pad) // 8, "big")
+    return bytes(out)
 
 
 def unlzw(data: bytes) -> bytes:
@@ -260,15 +274,13 @@ def pages(media: DataFrame, column: str = "media", keep: tuple[str, ...] = ("doc
 
 #: Bytes of one row of the page that holds a payload: 64 pixels of three samples.
 ROW = 192
-#: Payloads up to this size are stored with LZW; longer ones by their checksum's remainder.
-SMALL = 768
 
 
 def payload_tiff(payload: bytes) -> bytes:
+    """Compression, predictor and layout follow from the payload's checksum alone, at every size."""
     page = np.frombuffer(payload, np.uint8).reshape(-1, 64, 3)
-    if len(payload) <= SMALL:
-        return write_tiff([page], LZW, 1)
-    return (lambda: write_tiff([page], PACKBITS, 1), lambda: write_tiff([page], DEFLATE, 2), lambda: write_tiff([page], DEFLATE, 2, tile=64))[zlib.crc32(payload) % 3]()
+    crc = zlib.crc32(payload)
+    return write_tiff([page], (PACKBITS, LZW, DEFLATE)[crc % 3], 1 + crc // 3 % 2, tile=64 * (crc // 6 % 2))
 
 
 def from_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -236,6 +236,24 @@ def test_tiff_column(spark, docs):
     assert rows == [(3, 0, True), (3, 1, True)] and tiff.pages(bad).where("error is not null").count() == 2
 
 
+def test_payloads_meet_every_codec_predictor_and_layout_at_every_size():
+    rng = np.random.default_rng(4)
+    for size in (192, 960, 48_000):
+        met = set()
+        for _ in range(150):
+            raw = rng.integers(32, 127, size).astype(np.uint8).tobytes()
+            ((tags, px),) = tiff.read_tiff(tiff.payload_tiff(raw))
+            assert px.tobytes() == raw
+            met.add((tags[tiff.COMPRESSION][0], tags[tiff.PREDICTOR][0], tiff.TILE_OFFSETS in tags))
+        assert len(met) == 12
+
+
+def test_lzw_through_table_clears():
+    rng = np.random.default_rng(5)
+    for raw in [b"", b"a", bytes(40_000), rng.integers(0, 256, 40_000).astype(np.uint8).tobytes(), *(rng.integers(0, 3, n).astype(np.uint8).tobytes() for n in range(3_000, 60_000, 1_777))]:
+        assert tiff.unlzw(tiff.lzw(raw)) == raw
+
+
 def test_license_scan(spark, docs, empty):
     model = license_scan.fit(docs)
     got = {r.doc_id: r for r in license_scan.scan(docs, model).collect()}
