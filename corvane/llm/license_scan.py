@@ -3,11 +3,17 @@
 Every line with a word is a paragraph.  A multinomial logistic regression over hashed word uni- and
 bigrams names the licence family or ``unknown``; a family stands only if its calibrated probability
 reaches the limit and enough of the paragraph is found in one of the family's templates.
+
+Notices inside longer lines, notices wrapped over lines and the paragraphs of whole licences are found
+by windows: for every template, each run of a text's words as long as the template, whatever line
+breaks it has, that holds enough of the template's bigrams.  The classifier must agree on the window.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -67,17 +73,26 @@ UNKNOWN = "unknown"
 BUCKETS = 1 << 15
 #: Paragraphs of the corpus that stand for ``unknown`` in training, at most.
 SAMPLE = 4_000
-#: Least calibrated probability, and least share of a paragraph's bigrams found in a template.
+#: Least calibrated probability, and least share of a paragraph's bigrams found in a template, or of a
+#: template's bigrams found in a window.
 LIMIT, ALIKE = 0.5, 0.6
+#: Least words of a paragraph of a whole licence that makes a template.
+BODY = 9
 
 
-def features(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, paragraph) of every feature, and (document, start, end) of every paragraph, in bytes."""
+def bodies() -> dict[str, list[str]]:
+    """The paragraphs of the whole licence texts in ``licences``, of BODY words at least."""
+    out: dict[str, list[str]] = {}
+    for path in sorted((Path(__file__).parent / "licences").glob("*.txt")):
+        found = (" ".join(p.split()) for p in re.split(r"\n\s*\n", path.read_text("utf-8")))
+        out[path.stem] = [p for p in found if len(p.split()) >= BODY]
+    return out
+
+
+def _words(column):
+    """(bytes, offsets, start, end, hash, plain) of the words; ``plain`` ones have letters or digits."""
     buf, offs = W.utf8(column)
-    start, end, _ = W.spans(buf, offs)
-    edge = np.unique(np.concatenate([offs[:-1], np.flatnonzero(buf == 10) + 1, offs[1:]]))
-    at = np.searchsorted(edge, start, "right") - 1
-    lines, para = np.unique(at, return_inverse=True)
+    start, end, doc = W.spans(buf, offs)
     # Punctuation at a word's edge doesn't count: its hash is that of the letters and digits inside.
     low = W.lower_ascii(buf)
     plain = ((low >= 97) & (low <= 122)) | ((low >= 48) & (low <= 57)) | (low >= 128)
@@ -86,7 +101,15 @@ def features(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np
     where = np.flatnonzero(plain)
     first = np.where(some, where[np.minimum(ends[start], len(where) - 1)] if len(where) else start, start)
     last = np.where(some, where[np.maximum(ends[end] - 1, 0)] + 1 if len(where) else end, end)
-    h = W.span_hashes(low, first, last)
+    return buf, offs, start, end, doc, W.span_hashes(low, first, last), some
+
+
+def features(column, known=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, paragraph) of every feature, and (document, start, end) of every paragraph, in bytes."""
+    buf, offs, start, end, _, h, _ = known or _words(column)
+    edge = np.unique(np.concatenate([offs[:-1], np.flatnonzero(buf == 10) + 1, offs[1:]]))
+    at = np.searchsorted(edge, start, "right") - 1
+    lines, para = np.unique(at, return_inverse=True)
     two = W.inside(para, 2)
     pair = W.grams(h, 2)[two]
     shift = np.uint64(64 - 15)
@@ -103,6 +126,69 @@ def bigrams(text: str) -> set[int]:
     return set(bucket[n:].tolist()) or set(bucket.tolist())
 
 
+class Passages:
+    """All templates, notices and paragraphs of whole licences, ready for the search of windows."""
+
+    def __init__(self):
+        named = {f: [*v, *bodies().get(f, [])] for f, v in TEMPLATES.items()}
+        self.family, self.length, own = [], [], []
+        for f, v in named.items():
+            for t in v:
+                *_, h, some = _words(pa.array([t]))
+                g = W.grams(h[some], 2)
+                if len(g):
+                    self.family.append(f)
+                    self.length.append(len(g))
+                    own.append(np.unique(g))
+        self.terms, index = np.unique(np.concatenate(own), return_inverse=True)
+        self.edge = np.concatenate([[0], np.cumsum([len(x) for x in own])])
+        self.of = index
+        self.quick = np.zeros(1 << 20, bool)
+        self.quick[(self.terms >> np.uint64(44)).astype(np.int64)] = True
+
+    def windows(self, h: np.ndarray, doc: np.ndarray):
+        """(template, first word, last word, similarity) of the windows, by template and place.
+
+        ``h`` and ``doc`` are the plain words.  A window starts at a bigram of the template and is as
+        long as the template; its similarity is the share of the template's distinct bigrams in it.
+        """
+        if len(h) < 2:
+            return
+        pair = W.grams(h, 2)
+        at = np.flatnonzero(self.quick[(pair >> np.uint64(44)).astype(np.int64)] & W.inside(doc, 2))
+        term = np.minimum(np.searchsorted(self.terms, pair[at]), len(self.terms) - 1)
+        real = self.terms[term] == pair[at]
+        at, term = at[real], term[real]
+        order = np.argsort(term, kind="stable")
+        lo = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
+        there = lo[1:] > lo[:-1]
+        size = np.diff(self.edge)
+        enough = np.add.reduceat(there[self.of].astype(np.int64), self.edge[:-1]) >= ALIKE * size
+        for t in np.flatnonzero(enough).tolist():
+            n, span = int(size[t]), self.length[t]
+            mine = self.of[self.edge[t] : self.edge[t + 1]]
+            each = [at[order[lo[x] : lo[x + 1]]] for x in mine.tolist()]
+            # A bigram counts in the windows that start after its last occurrence before, so each counts once.
+            place = np.concatenate(each)
+            before = np.concatenate([np.concatenate([[-1], x[:-1]]) if len(x) else x for x in each])
+            opens, closes, start = np.sort(np.maximum(before + 1, place - span + 1)), np.sort(place) + 1, np.sort(place)
+            limit = np.searchsorted(doc, doc[start], "right") - 1  # the last word of the start's document
+            # Windows end with their document: bigrams of the next one are taken off where they would count.
+            count = np.searchsorted(opens, start, "right") - np.searchsorted(closes, start, "right")
+            over = np.flatnonzero((start + span > limit) & (count >= ALIKE * n))
+            for i in over.tolist():
+                j = np.searchsorted(start, min(start[i] + span, limit[i]))
+                count[i] = len(np.unique(pair[start[i:j]])) if j - i < 4 * span else count[i]
+            good = np.flatnonzero(count >= ALIKE * n)
+            i = 0
+            while i < len(good):
+                stop = int(np.searchsorted(start[good], start[good[i]] + span))
+                best = good[i + int(np.argmax(count[good[i:stop]]))]
+                last = start[np.searchsorted(start, min(start[best] + span, limit[best])) - 1] + 1
+                yield t, int(start[best]), int(last), float(count[best] / n)
+                i = int(np.searchsorted(start[good], last))
+
+
 @dataclass
 class Model:
     families: list[str]
@@ -124,13 +210,17 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int =
     """
     rng = np.random.default_rng(seed)
     names = [*sorted(TEMPLATES), UNKNOWN]
-    lines, labels = [], []
+    lines, labels, whole = [], [], bodies()
     for k, name in enumerate(names[:-1]):
         for t in TEMPLATES[name]:
             for _ in range(40):
                 words = [w for w in t.split() if rng.random() > 0.08] or t.split()
                 lines.append(" ".join(words))
                 labels.append(k)
+        for t in whole.get(name, []):
+            for _ in range(4):
+                lines.append(" ".join([w for w in t.split() if rng.random() > 0.08] or t.split()))
+                labels.append(k)
     # Documents whose hash is least: found by their ids alone, so that no task sorts texts.
     rows = texts(docs, key, text).where("text is not null")
     ids = rows.orderBy(F.xxhash64("doc_id", F.length("text")), "doc_id").select("doc_id").limit(sample).distinct()  # at most `sample` rows
@@ -140,7 +230,11 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int =
     line = F.get("p", F.pmod(F.xxhash64("doc_id"), F.size("p").cast("long")).cast("int"))
     picked = chosen.groupBy("doc_id").agg(F.min(line).alias("line")).orderBy("doc_id")
     known = [bigrams(t) for v in TEMPLATES.values() for t in v]
+    passages = Passages()
     for r in picked.collect():
+        *_, doc, h, some = _words(pa.array([r.line]))
+        if next(passages.windows(h[some], doc[some]), None):
+            continue
         own = bigrams(r.line)
         if own and max(len(own & t) for t in known) < 0.3 * len(own):
             lines.append(r.line)
@@ -170,22 +264,56 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int =
 HIT = "array<struct<family:string,start:long,stop:long,probability:double,similarity:double>>"
 
 
+def _add_windows(hits: dict[int, list], found, m: Model, passages: Passages) -> None:
+    """Adds the windows that the classifier agrees on to the paragraphs in ``hits``.
+
+    Of windows that overlap, that with most of its template stands.  A window inside a paragraph that
+    is a hit says nothing new; one that goes beyond takes in the paragraphs of its family it meets.
+    """
+    _, offs, start, end, doc, h, some = found
+    start, end, doc, h = start[some], end[some], doc[some], h[some]
+    by_doc: dict[int, list] = {}
+    for t, first, last, alike in passages.windows(h, doc):
+        one = h[first : last + 1]
+        bucket = (np.concatenate([W.mix(one), W.grams(one, 2)]) >> np.uint64(64 - 15)).astype(np.int64)
+        p = _softmax(((m.weights[:, bucket].sum(1) / np.sqrt(len(bucket)) + m.bias) / m.temperature)[:, None])[:, 0]
+        k = int(p[:-1].argmax())
+        if p[k] >= LIMIT and m.families[k] == passages.family[t]:
+            d = int(doc[first])
+            by_doc.setdefault(d, []).append((-alike * passages.length[t], int(start[first] - offs[d]), int(end[last] - offs[d]), m.families[k], float(p[k]), alike))
+    for d, windows in by_doc.items():
+        lines, kept = hits.get(d, []), []
+        for _, a, e, family, p, alike in sorted(windows):
+            if any(x["start"] <= a and e <= x["stop"] for x in lines) or any(a < x["stop"] and x["start"] < e for x in kept):
+                continue
+            kept.append({"family": family, "start": a, "stop": e, "probability": p, "similarity": alike})
+        for w in kept:
+            a, e = w["start"], w["stop"]
+            met = [x for x in lines if x["start"] < e and a < x["stop"] and (x["family"] == w["family"] or (a <= x["start"] and x["stop"] <= e))]
+            for x in met:
+                if x["family"] == w["family"]:
+                    w["start"], w["stop"] = min(w["start"], x["start"]), max(w["stop"], x["stop"])
+            lines = [x for x in lines if not any(x is y for y in met)]
+        hits[d] = sorted([*lines, *kept], key=lambda x: (x["start"], x["stop"]))
+
+
 def scan(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_paragraphs, hits): the confirmed licence paragraphs of every whole text.
+    """(doc_id, n_paragraphs, hits): the confirmed licence paragraphs and windows of every whole text.
 
     ``start`` and ``stop`` are byte positions in the UTF-8 text.  A null or empty text has no
     paragraphs; repeated rows give repeated rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model, Passages()))
 
     def run(batches):
-        m = shared.value
+        m, passages = shared.value
         known = {f: [bigrams(t) for t in v] for f, v in TEMPLATES.items()}
         # Only paragraphs whose best family beats unknown need probabilities: score differences decide.
         for b in (part for batch in batches for part in W.parts(batch)):
-            bucket, owner, doc, lo, hi = features(b.column("text"))
+            found = _words(b.column("text"))
+            bucket, owner, doc, lo, hi = features(None, found)
             n = len(doc)
-            offs = W.utf8(b.column("text"))[1]
+            offs = found[1]
             size = np.bincount(owner, minlength=n)
             scale = 1 / np.sqrt(np.maximum(size, 1))
             z = np.stack([np.bincount(owner, weights=m.weights[k].take(bucket), minlength=n) * scale for k in range(len(m.families))]) + m.bias[:, None] if n else np.zeros((len(m.families), 0))
@@ -203,6 +331,7 @@ def scan(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
                     alike = max(len(own & t) / max(1, len(own)) for t in known[family])
                     if alike >= ALIKE:
                         hits.setdefault(d, []).append({"family": family, "start": a, "stop": a + len(raw), "probability": float(p[best[k], k]), "similarity": alike})
+            _add_windows(hits, found, m, passages)
             rows = b.num_rows
             kind = pa.list_(pa.struct([("family", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("probability", pa.float64()), ("similarity", pa.float64())]))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.bincount(doc, minlength=rows)[:rows], pa.int64()), pa.array([hits.get(k, []) for k in range(rows)], kind)], ["doc_id", "n_paragraphs", "hits"])

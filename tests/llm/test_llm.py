@@ -265,6 +265,25 @@ def test_license_scan(spark, docs, empty):
     assert license_scan.scan(empty, model).count() == 0
 
 
+def test_license_scan_inline_wrapped_and_whole(spark, docs):
+    import textwrap
+
+    rng = np.random.default_rng(6)
+    prose = lambda n: " ".join(rng.choice(["river", "stone", "of", "the", "in", "walks", "green", "and", "to", "house"], n))
+    apache = license_scan.TEMPLATES["Apache-2.0"][1]
+    mit, gpl = (license_scan.bodies()[x] for x in ("MIT", "GPL-3.0"))
+    texts = [
+        f"{prose(400)} This project is licensed under the terms of the MIT license. {prose(300)}", f"{prose(20)}\n" + textwrap.fill(apache, 40, initial_indent=" * ", subsequent_indent=" * "), mit[0], "\n\n".join(mit), "\n\n".join(textwrap.fill(p, 70) for p in gpl),
+        prose(3000), "of the " * 5000, f"{prose(9)} the software and the source code of the program",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.hits for r in license_scan.scan(rows, license_scan.fit(docs)).collect()}
+    assert [[h.family for h in got[i]] for i in (0, 1, 2, 3)] == [["MIT"], ["Apache-2.0"], ["MIT"], ["MIT"] * 3]
+    assert texts[0][got[0][0].start : got[0][0].stop] == "This project is licensed under the terms of the MIT license."
+    assert {h.family for h in got[4]} == {"GPL-3.0"} and sum(h.stop - h.start for h in got[4]) > 0.8 * len(texts[4])
+    assert [got[i] for i in (5, 6, 7)] == [[], [], []]
+
+
 def test_quality(docs, empty):
     trusted = docs.where("doc_id in (0, 12, 13, 17)").select("doc_id")
     texts = corpus()
