@@ -106,6 +106,23 @@ def grouped(index: DataFrame, id_col: str = "id") -> DataFrame:
     return index.join(F.broadcast(sizes), "cell").withColumn("shard", F.pmod(F.xxhash64(id_col), F.col("shards"))).drop("shards")
 
 
+def candidates(groups: DataFrame, n: int, id_col: str = "id", vector: str = "embedding") -> DataFrame:
+    """(node, other, distance): the n nearest other rows (euclidean) of every row in its group (see ``grouped``)."""
+
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, x = pdf[id_col].to_numpy(), np.array(pdf[vector].tolist(), np.float64)
+        k, out = min(n, len(x) - 1), []
+        for lo in range(0, len(x), 512):
+            part = x[lo : lo + 512]
+            d = np.sqrt(np.maximum((part * part).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * part @ x.T, 0))
+            d[np.arange(len(part)), lo + np.arange(len(part))] = np.inf
+            best = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
+            out.append(pd.DataFrame({"node": np.repeat(ids[lo : lo + 512], k), "other": ids[best].ravel(), "distance": np.take_along_axis(d, best, 1).ravel()}))
+        return pd.concat(out)
+
+    return groups.select("cell", "shard", id_col, vector).groupBy("cell", "shard").applyInPandas(near, "node long, other long, distance double")
+
+
 def build_graph(groups: DataFrame, m: int = 16, ef_construction: int = 64, id_col: str = "id", vector: str = "embedding") -> DataFrame:
     """(cell, shard, node, other): links both ways, from diverse neighbours among the rows of a group (euclidean).
 

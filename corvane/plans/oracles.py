@@ -82,3 +82,14 @@ ORACLES |= {
     "select_neighbors_simple": f"WITH {_CAND} SELECT node, other, round(distance, 5) AS distance, rank FROM e",
     "graph_integrity": f"WITH {_CAND}, a AS (SELECT node, other FROM e UNION SELECT other, node FROM e WHERE other % 2 = 0), n AS (SELECT id FROM v WHERE id % 9 <> 5) SELECT 'degree' AS problem, node, NULL::BIGINT AS other FROM a GROUP BY node HAVING count(*) > 7 UNION ALL SELECT 'missing', node, other FROM a WHERE other NOT IN (SELECT id FROM n) UNION ALL SELECT 'one_way', node, other FROM a WHERE NOT EXISTS (SELECT 1 FROM a AS z WHERE z.node = a.other AND z.other = a.node)",
 }
+
+# The full query set for the filtered searches, and every row as a node.
+_TOP = "SELECT qid, id, round(score, 5) AS score, rank FROM r WHERE rank <= "
+_EVERY = _CAND.replace(" WHERE id % 100 = 0)", ")")
+ORACLES |= {
+    "knn_prefilter_batch": f"WITH {V}, {_scored('cosine', 'label IN (1, 2, 3)')} {_TOP} 10",
+    "knn_postfilter_batch": f"WITH {V}, {_scored('cosine')}, f AS (SELECT * FROM r WHERE rank <= 30 AND label IN (1, 2, 3)), n AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank, count(*) OVER (PARTITION BY qid) >= 10 AS is_complete FROM f) SELECT qid, id, round(score, 5) AS score, rank, is_complete FROM n WHERE rank <= 10",
+    "knn_variant_filter_batch": f"WITH {V}, {_scored('dot', 'label >= 2 AND label < 8 AND label % 3 IN (0, 1)')} {_TOP} 10",
+    "search_excludes_tombstones_batch": f"WITH {_LOG}, s AS (SELECT qid, id, list_distance(e, q) AS score FROM live, p), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, id) AS rank FROM s) {_TOP} 20",
+    "select_neighbors_simple_all": f"WITH {_EVERY} SELECT node, other, round(distance, 5) AS distance, rank FROM e",
+}

@@ -6,7 +6,7 @@ three metrics rank differently.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.filters import parse_filter
@@ -88,6 +88,33 @@ def knn_variant_filter(spark, sf_dir):
     return found.select("id", "label", F.round("score", 5).alias("score"), "rank")
 
 
+def _ranked(found):
+    return found.select("qid", "id", F.round("score", 5).alias("score"), "rank")
+
+
+# The filtered searches for every query of the set.
+
+
+@query
+def knn_prefilter_batch(spark, sf_dir):
+    return _ranked(knn.batch(vectors(spark, sf_dir).where(F.col("label").isin(1, 2, 3)), probes(spark, sf_dir), 10))
+
+
+@query
+def knn_postfilter_batch(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    found = knn.assemble(knn.batch(rows, probes(spark, sf_dir), 30), rows, columns=("label",)).where(F.col("label").isin(1, 2, 3))
+    each = Window.partitionBy("qid")
+    kept = found.withColumn("rank", F.row_number().over(each.orderBy(F.desc("score"), "id"))).withColumn("is_complete", F.count("*").over(each) >= 10)
+    return kept.where("rank <= 10").select("qid", "id", F.round("score", 5).alias("score"), "rank", "is_complete")
+
+
+@query
+def knn_variant_filter_batch(spark, sf_dir):
+    rows = vectors(spark, sf_dir).withColumn("metadata", F.try_parse_json(F.to_json(F.struct("label", F.concat(F.lit("g"), F.col("label") % 3).alias("grp")))))
+    return _ranked(knn.batch(rows.where(parse_filter({"label": {"gte": 2, "lt": 8}, "grp": {"in": ["g0", "g1"]}})), probes(spark, sf_dir), 10, "dot"))
+
+
 @query
 def result_assembly(spark, sf_dir):
     rows = vectors(spark, sf_dir).withColumn("metadata", F.to_json(F.struct("label")))
@@ -180,6 +207,11 @@ def search_excludes_tombstones(spark, sf_dir):
     return knn.search(rows, probe(spark, sf_dir), 20, "euclidean").select("id", F.round("score", 5).alias("score"), "rank")
 
 
+@query
+def search_excludes_tombstones_batch(spark, sf_dir):
+    return _ranked(knn.batch(oplog.live(log(spark, sf_dir)), probes(spark, sf_dir), 20, "euclidean"))
+
+
 @query
 def update_latest_wins(spark, sf_dir):
     return oplog.live(log(spark, sf_dir)).where("slot_id >= 1000000 and slot_id < 2000000").select("id", "slot_id", F.round(F.get("embedding", F.lit(0)), 5).alias("first"))
@@ -271,20 +303,39 @@ def entry_point_recovery(spark, sf_dir):
 # Graphs and approximate search.
 
 
-def _candidates(spark, sf_dir):
-    found = knn.batch(vectors(spark, sf_dir), probes(spark, sf_dir), 30, "euclidean").where("id <> qid")
+def _candidates(spark, sf_dir, nodes=probes):
+    found = knn.batch(vectors(spark, sf_dir), nodes(spark, sf_dir), 30, "euclidean").where("id <> qid")
     return found.select(F.col("qid").alias("node"), F.col("id").alias("other"), F.col("score").alias("distance"))
 
 
+def every_row(spark, sf_dir):
+    return vectors(spark, sf_dir).select(F.col("id").alias("qid"), F.col("embedding").alias("q"))
+
+
+def _groups(spark, sf_dir):
+    return ann.grouped(vectors(spark, sf_dir).withColumn("cell", F.lit(0)))
+
+
+def graph_audit(spark, sf_dir, max_degree=64):
+    """Problems of the graph that ``build_graph`` makes, over all nodes; it has no SQL."""
+    edges = ann.build_graph(_groups(spark, sf_dir)).select("node", "other")
+    return evaluate.graph_problems(edges, vectors(spark, sf_dir).select(F.col("id").alias("node")), max_degree)
+
+
 @query
 def select_neighbors_simple(spark, sf_dir):
     return ann.select_simple(_candidates(spark, sf_dir), 8).select("node", "other", F.round("distance", 5).alias("distance"), "rank")
 
 
+@query
+def select_neighbors_simple_all(spark, sf_dir):
+    return ann.select_simple(_candidates(spark, sf_dir, every_row), 8).select("node", "other", F.round("distance", 5).alias("distance"), "rank")
+
+
 @query
 def select_neighbors_heuristic(spark, sf_dir):
     rows = vectors(spark, sf_dir).select(F.col("id").alias("other"), F.col("embedding").alias("vector"))
-    return ann.select_diverse(_candidates(spark, sf_dir).join(rows, "other"), 8).select("node", "other", F.round("distance", 5).alias("distance"))
+    return ann.select_diverse(ann.candidates(_groups(spark, sf_dir), 29).join(rows, "other"), 8).select("node", "other", F.round("distance", 5).alias("distance"))
 
 
 @query
@@ -305,8 +356,7 @@ def ivf_search(spark, sf_dir):
 
 @query
 def hnsw_search(spark, sf_dir):
-    rows = vectors(spark, sf_dir)
-    groups = ann.grouped(rows.withColumn("cell", F.lit(0)))
+    groups = _groups(spark, sf_dir)
     found = ann.search_graph(groups, ann.build_graph(groups), probes(spark, sf_dir), 10, ef=64, metric="euclidean")
     return found.select("qid", "id", F.round("score", 5).alias("score"), "rank")
 

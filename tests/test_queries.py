@@ -46,3 +46,14 @@ def test_recall_of_a_graph_of_many_groups(spark, monkeypatch):
     sf = "/root/testdata/sf0.1"
     truth = knn.batch(queries.vectors(spark, sf), queries.probes(spark, sf), 10, "euclidean")
     assert evaluate.recall(queries.QUERIES["hnsw_search"](spark, sf), truth, 10).agg({"recall": "avg"}).first()[0] >= 0.9
+
+
+def test_neighbours_and_audit_take_every_row(spark, sf_dir, monkeypatch):
+    n = queries.vectors(spark, sf_dir).count()
+    assert queries.QUERIES["select_neighbors_heuristic"](spark, sf_dir).select("node").distinct().count() == n
+    seen = []
+    problems = evaluate.graph_problems
+    monkeypatch.setattr(evaluate, "graph_problems", lambda edges, *rest: seen.append(edges) or problems(edges, *rest))
+    found = queries.graph_audit(spark, sf_dir, 0)
+    assert seen[0].select("node").distinct().count() == n == found.where("problem = 'degree'").count()
+    assert found.where("problem <> 'degree'").count() == 0
