@@ -1,4 +1,4 @@
-"""N-gram Jaccard join with PartEnum signatures.
+"""N-gram Jaccard join with single-part signatures and prefix filtering, in place of PartEnum's subsets.
 
 Sets of word shingles are put in bands by size, so that any two sets alike enough lie in the same
 band or in neighbouring ones.  For a band, the domain of shingles is partitioned by hash into more
