@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import words as W
-from corvane.llm.frames import row_of, texts, with_row
+from corvane.llm.frames import sifted, texts
 
 #: Families of languages by ISO 639-1 code (fixed values); any other language is a family of its own.
 FAMILIES = {
@@ -97,7 +97,7 @@ def shares(docs: DataFrame) -> DataFrame:
     """(lang, bucket array<int>, n array<int>): n-gram counts of every whole text."""
 
     def run(batches):
-        for b in batches:
+        for b in (part for batch in batches for part in W.parts(batch)):
             buf, offs = W.utf8(b.column("text"))
             grams = _buckets(W.lower_ascii(buf))
             rows = [np.unique(grams[a : max(a, z - GRAM + 1)], return_counts=True) for a, z in zip(offs[:-1], offs[1:])]
@@ -120,7 +120,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
     limit = F.create_map(*(x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(int((1 << 30) * min(1.0, each / n))))))
     chosen = rows.where(draw < F.element_at(limit, F.col("lang")))
-    got = shares(chosen.select("text", "lang")).limit(2 * each * len(counts)).collect()
+    got = shares(chosen.select("text", "lang")).collect()  # about `sample` rows
     got.sort(key=lambda r: (r.lang, r.n, r.bucket))
     x = np.zeros((len(got), BUCKETS), np.float32)
     for k, r in enumerate(got):
@@ -183,35 +183,55 @@ def has_letter(column, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return found
 
 
-def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
+def _judge(m: Model):
+    """(texts) -> (languages, scores) of a batch, by the model."""
+    names = np.array([*sorted(c for v in m.languages.values() for c in v), UNKNOWN])
+    table = np.array([x.weights for x in m.machines()], np.float32).reshape(-1, BUCKETS)
+    bias = np.array([x.bias for x in m.machines()])
+
+    def judge(column) -> tuple[np.ndarray, np.ndarray]:
+        column = pc.fill_null(column, "")
+        buf, offs = W.utf8(column)
+        rows = len(column)
+        known = has_letter(column, buf, offs) if m.families else np.zeros(rows, bool)
+        grams = _buckets(W.lower_ascii(buf))
+        start, n = offs[:-1], np.maximum(np.diff(offs) - GRAM + 1, 0)
+        stop = np.minimum(start + n, len(grams))
+        margins = np.empty((len(table), rows))
+        for k, weights in enumerate(table):
+            total = np.concatenate([[0.0], np.cumsum(weights.take(grams), dtype=np.float64)])
+            margins[k] = (total[stop] - total[np.minimum(start, len(grams))]) / np.maximum(n, 1) + bias[k]
+        lang, score = classify(m, margins) if m.families else (np.zeros(rows, np.int64), np.zeros(rows))
+        return names[np.where(known, lang, len(names) - 1)], np.where(known, score, 0.0)
+
+    return judge
+
+
+def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) of every whole text.
 
     ``und`` with score 0 for a null text, one without a letter, or a model without languages.
-    Repeated rows give repeated rows; equal texts get equal predictions.  ``whole`` adds the input row
-    as the struct ``row``.
+    Repeated rows give repeated rows; equal texts get equal predictions; languages with equal votes
+    and probabilities go to the first by name.  Rows without an id are predicted too.  A text of any
+    length is read whole, those above 4 MB one at a time.
     """
-    docs = texts(docs, key, text, whole)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m = shared.value
-        names = np.array([*sorted(c for v in m.languages.values() for c in v), UNKNOWN])
-        table = np.array([x.weights for x in m.machines()], np.float32).reshape(-1, BUCKETS)
-        bias = np.array([x.bias for x in m.machines()])
+        judge = _judge(shared.value)
         for b in (part for batch in batches for part in W.parts(batch)):
-            column = pc.fill_null(b.column("text"), "")
-            buf, offs = W.utf8(column)
-            known = has_letter(column, buf, offs) if m.families else np.zeros(b.num_rows, bool)
-            grams = _buckets(W.lower_ascii(buf))
-            start, n = offs[:-1], np.maximum(np.diff(offs) - GRAM + 1, 0)
-            stop = np.minimum(start + n, len(grams))
-            margins = np.empty((len(table), b.num_rows))
-            for k, weights in enumerate(table):
-                total = np.concatenate([[0.0], np.cumsum(weights.take(grams), dtype=np.float64)])
-                margins[k] = (total[stop] - total[np.minimum(start, len(grams))]) / np.maximum(n, 1) + bias[k]
-            lang, score = classify(m, margins) if m.families else (np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows))
-            lang = np.where(known, lang, len(names) - 1)
-            row, name = row_of(b)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names[lang].tolist(), pa.string()), pa.array(np.where(known, score, 0.0)), *row], ["doc_id", "lang_pred", "score", *name])
-
-    return docs.mapInArrow(run, with_row(docs, "doc_id long, lang_pred string, score double"))
+            lang, score = judge(b.column("text"))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang.tolist(), pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+
+    return texts(docs, key, text).mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def keep(docs: DataFrame, model: Model, least: float, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose language is known with a score of ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def verdict(_, column):
+        lang, score = _judge(shared.value)(column)
+        return pa.array((lang != UNKNOWN) & (score >= least))
+
+    return sifted(docs, verdict, key, text)

@@ -103,7 +103,7 @@ def place(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     spans += [(capacity, 0, 1 << 62, base, 0)]
     # The number of spans depends on the capacity alone: every length splits one entry at most.
     table = spark.createDataFrame(spans, "length long, lo long, hi long, shift long, offset long")
-    grouped = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
+    grouped = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = grouped.groupBy("length", "part").agg(F.count("*").alias("m")).select("length", "part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("before"))
     own = Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import words as W
-from corvane.llm.frames import row_of, texts, with_row
+from corvane.llm.frames import sifted, texts
 
 #: Buckets of the hashed n-grams: both tables together are 1 MB, whatever the corpus.
 BUCKETS = 1 << 16
@@ -20,8 +20,6 @@ BUCKETS = 1 << 16
 GRAM = 4
 #: Trusted documents that the target multinomial is fitted on, at most; the raw counts cover all.
 TRUSTED = 20_000
-#: Slices in which a task hands over its counts.
-SLICES = 16
 #: Mean natural-log ratio below which a document goes.
 THRESHOLD = -0.5
 
@@ -56,9 +54,10 @@ def target_ids(trusted: DataFrame, bound: int = TRUSTED) -> np.ndarray:
 
 
 def gram_counts(docs: DataFrame, target: np.ndarray) -> DataFrame:
-    """(slice, raw binary, target binary): counts over all documents, and over those of the target sample.
+    """(bucket, raw, target): counts over all documents, and over those of the target sample.
 
-    Every task adds up its own documents first, so what is shuffled doesn't depend on their number.
+    Every task adds up its own documents and gives a row per bucket; Spark adds these up by bucket, in
+    tasks before the shuffle and after it, so no group grows beyond one row of each task.
     """
     ids = docs.sparkSession.sparkContext.broadcast(target)
 
@@ -76,14 +75,10 @@ def gram_counts(docs: DataFrame, target: np.ndarray) -> DataFrame:
             chosen = np.repeat(np.isin(own, ids.value), np.diff(offs))[: len(grams)]
             raw += np.bincount(grams[inside], minlength=BUCKETS)
             target += np.bincount(grams[inside & chosen], minlength=BUCKETS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), *(pa.array([x.tobytes() for x in np.split(y, SLICES)], pa.binary()) for y in (raw, target))], ["slice", "raw", "target"])
+        some = np.flatnonzero(raw)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(raw[some], pa.int64()), pa.array(target[some], pa.int64())], ["bucket", "raw", "target"])
 
-    def add(t: pa.Table) -> pa.Table:
-        both = [sum(np.frombuffer(x.as_py(), np.int64) for x in t.column(c)).tobytes() for c in ("raw", "target")]
-        return pa.table({"slice": pa.array([t.column("slice")[0].as_py()], pa.int32()), "raw": pa.array([both[0]], pa.binary()), "target": pa.array([both[1]], pa.binary())})
-
-    schema = "slice int, raw binary, target binary"
-    return docs.mapInArrow(count, schema).groupBy("slice").applyInArrow(add, schema)
+    return docs.mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
 def ratios(raw: np.ndarray, target: np.ndarray, smoothing: float = 1.0) -> np.ndarray:
@@ -138,29 +133,45 @@ def statistics(column) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, np.ndar
 RESULT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double"
 
 
-def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
+def _table(docs: DataFrame, trusted: DataFrame):
+    """The log ratio of each bucket, on its way to the executors."""
+    rows = gram_counts(docs, target_ids(trusted)).collect()  # BUCKETS rows at most, of three numbers
+    raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for r in rows:
+        raw[r.bucket], target[r.bucket] = r.raw, r.target
+    return docs.sparkSession.sparkContext.broadcast(ratios(raw, target))
+
+
+def _verdicts(column, table: np.ndarray, threshold: float):
+    """(statistics, whether the rules failed, whether kept, score) of each text."""
+    stats, (buf, offs) = statistics(column)
+    start, n = _own(offs)
+    score = _sums(table.take(gram_buckets(buf)), start, n) / np.maximum(n, 1)
+    failed = (stats["n_words"] < 50) | (100 * stats["n_repeat_words"] > 50 * stats["n_words"])
+    return stats, failed, ~failed & (score >= threshold), score
+
+
+def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Statistics, likelihood-ratio score and verdict of every document.
 
-    ``trusted`` has the doc_ids of trusted documents, of which the target sample is drawn.  A null or empty text has no words and fails; a
-    text shorter than an n-gram scores 0.  Without trusted documents every score is 0.  Repeated rows
-    give repeated rows, equal texts equal scores.  ``whole`` adds the input row as the struct ``row``.
+    ``trusted`` has the doc_ids of trusted documents, of which the target sample is drawn.  A null or
+    empty text has no words and fails; a text shorter than an n-gram scores 0.  A score equal to the
+    threshold is kept.  Without trusted documents every score is 0.  Repeated rows give repeated rows,
+    equal texts equal scores; rows without an id are judged too, and are never trusted.  A text of any
+    length is read whole, those above 4 MB one at a time.
     """
-    docs = texts(docs, key, text, whole)
-    slices = sorted(gram_counts(docs.select("doc_id", "text"), target_ids(trusted)).collect(), key=lambda r: r[0])  # SLICES rows of fixed size
-    if slices:
-        raw, target = (np.concatenate([np.frombuffer(r[k], np.int64) for r in slices]) for k in (1, 2))
-    else:
-        raw = target = np.zeros(BUCKETS, np.int64)
-    table = docs.sparkSession.sparkContext.broadcast(ratios(raw, target))
+    docs = texts(docs, key, text)
+    table = _table(docs, trusted)
 
     def run(batches):
         for b in (part for batch in batches for part in W.parts(batch)):
-            stats, (buf, offs) = statistics(b.column("text"))
-            start, n = _own(offs)
-            score = _sums(table.value.take(gram_buckets(buf)), start, n) / np.maximum(n, 1)
-            failed = (stats["n_words"] < 50) | (100 * stats["n_repeat_words"] > 50 * stats["n_words"])
-            kept = ~failed & (score >= threshold)
-            row, name = row_of(b)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, pa.int64()) for x in stats.values()), pa.array(failed), pa.array(kept), pa.array(score), *row], ["doc_id", *stats, "base_failed", "kept", "score", *name])
+            stats, failed, kept, score = _verdicts(b.column("text"), table.value, threshold)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, pa.int64()) for x in stats.values()), pa.array(failed), pa.array(kept), pa.array(score)], ["doc_id", *stats, "base_failed", "kept", "score"])
+
+    return docs.mapInArrow(run, RESULT)
+
 
-    return docs.mapInArrow(run, with_row(docs, RESULT))
+def keep(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows, with all their columns, that ``judge`` keeps."""
+    table = _table(texts(docs, key, text), trusted)
+    return sifted(docs, lambda _, column: pa.array(_verdicts(column, table.value, threshold)[2]), key, text)

@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from corvane.llm import words as W
-from corvane.llm.exchange import Chunk, Replies, ask, chunked, n_groups, visit
+from corvane.llm.exchange import Chunk, Exchange, Replies
+from corvane.llm.frames import Scratch
 
 WINDOW = 20
 #: Bits of an anchor's hash; a false anchor costs a comparison, not a wrong result.
@@ -60,7 +61,7 @@ def _windows(chunk: Chunk, replies: Replies, window: int):
     if found is None:
         return words, none, none, np.zeros(0, np.uint64), none
     at, key, _ = _anchors(words, window)
-    _, index = np.unique(key, return_inverse=True)
+    _, _, index = W.distinct(key)
     n = len(words.hash)
     twice, anchored = np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int32)
     twice[1:][at] = (found[1] >= 2)[index]
@@ -69,8 +70,10 @@ def _windows(chunk: Chunk, replies: Replies, window: int):
     runs = window - window // 2 + 1
     inner = np.flatnonzero(W.inside(words.doc, window))
     cand = inner[(twice[inner + runs] - twice[inner] == runs) & (anchored[inner + runs] > anchored[inner])]
-    keys, first, index = np.unique(W.grams(words.hash, window, at=cand), return_index=True, return_inverse=True)
-    return words, cand, index, keys, cand[first]
+    keys, some, index = W.distinct(W.grams(words.hash, window, at=cand))
+    first = np.full(len(keys), n)
+    np.minimum.at(first, index, cand)
+    return words, cand, index, keys, first
 
 
 def _pass1(window: int):
@@ -87,9 +90,9 @@ def _removed(chunk: Chunk, replies: Replies, window: int) -> tuple[_Words, np.nd
     cover = np.zeros(len(words.hash) + 1, np.int64)
     found = replies[1]
     if found is not None and len(cand):
-        _, owner, alike = found
+        _, owner, check = found
         later = (chunk.ids[words.doc[cand]] > owner[index]) | (cand != first[index])
-        gone = cand[later & alike.astype(bool)[index]]
+        gone = cand[later & (check >= 0)[index]]
         np.add.at(cover, gone, 1)
         np.subtract.at(cover, gone + window, 1)
     return words, np.cumsum(cover[:-1]) > 0
@@ -98,18 +101,15 @@ def _removed(chunk: Chunk, replies: Replies, window: int) -> tuple[_Words, np.nd
 RESULT = "doc_id long, n_words long, n_removed long, kept string, removed array<struct<start:long,stop:long>>"
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", scratch: Scratch | None = None, **exchange) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, removed): every document without its repeated passages.
 
     ``kept`` has the words left, joined by one space; ``removed`` the runs of words that went, as word
     positions.  A null or empty text has no words, and texts shorter than a window lose none.  Rows
     without an id are left out.  Rows that repeat an id count as one document for what is earlier, and
-    each gives a row.
+    each gives a row.  A text longer than a chunk is a chunk of its own.  The result reads what is in
+    ``scratch``, which the caller may drop once the result is written.
     """
-    chunks = chunked(docs, key, text)
-    groups = n_groups(chunks)
-    r0 = ask(chunks, None, 0, _pass0(window), ["sum", "sum"], groups, ANCHOR_BITS)
-    r1 = ask(chunks, r0, 1, _pass1(window), ["min", "same"], groups)
 
     def final(chunk: Chunk, replies: Replies) -> pa.Table:
         words, gone = _removed(chunk, replies, window)
@@ -138,6 +138,9 @@ def dedup(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str
             "kept": kept.cast(pa.string()), "removed": lists,
         })
 
-    return visit(chunks, r0.unionByName(r1), final, RESULT)
+    with Exchange(docs, scratch or Scratch(docs.sparkSession), key=key, text=text, **exchange) as ex:
+        ex.ask(0, _pass0(window), ["sum", "sum"], ANCHOR_BITS)
+        ex.ask(1, _pass1(window), ["min", "same"])
+        return ex.visit(final, RESULT)
 
 
