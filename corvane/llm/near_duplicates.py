@@ -1,16 +1,24 @@
-"""N-gram Jaccard join with single-part signatures and prefix filtering, in place of PartEnum's subsets.
+"""N-gram Jaccard join by PartEnum signatures.
 
 Sets of word shingles are put in bands by size, so that any two sets alike enough lie in the same
-band or in neighbouring ones.  For a band, the domain of shingles is partitioned by hash into more
-parts than two such sets can differ in; then some part's elements are equal and not empty in both,
-and its hash is a signature that both share.  Of its signatures a set needs only the rarest, one more
-than the elements it may differ in, since one of those is shared already.  Candidates are joined to
-the most central document of their signature and compared exactly; signatures whose documents aren't in one
-component by then have the remaining pairs compared too, so no link is lost.
+band or in neighbouring ones.  For two neighbouring bands the domain of shingles is partitioned by
+hash in two levels.  Sets that may be linked differ in at most K elements; so, of the first-level
+partitions, some have at most k2 of the differences, and there all but k2 of the second-level ones
+are equal.  A signature is a first-level partition with a subset of its second-level ones: all
+subsets of n2 - k2 are enumerated, and linked sets share one of them.
+
+Documents with a signature in common are candidates.  Equal sets have one representative.  The others
+are compared, element by element, to the most central document of each of their signatures; then
+signatures whose documents aren't in one component have the remaining pairs compared too, so no link
+is lost.  Pairs that a parity sketch, as long as the sets, proves unlike are left out of that.
 """
 
 from __future__ import annotations
 
+import math
+from functools import cache
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,15 +26,14 @@ from pyspark.sql import functions as F
 
 from corvane.llm import words as W
 from corvane.llm.components import components
-from corvane.llm.exchange import Chunk, Replies, ask, chunked, n_groups, visit
-from corvane.llm.frames import drop_scratch, scratch, stored
+from corvane.llm.exchange import Chunk, Exchange, Replies
+from corvane.llm.frames import Scratch
 
 SHINGLE = 5
 #: Similarity of a link as a fraction.
 ALIKE = (3, 4)
-SIG_BITS = 48
-#: 64-bit words of a set's parity sketch: where two sketches differ, the sets differ at least as often.
-SKETCH = 8
+#: Pairs that one copy of a document's set is compared in, on average; beyond it there are more copies.
+PER_COPY = 256
 
 
 def shingle_sets(chunk: Chunk, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -44,9 +51,9 @@ def shingle_sets(chunk: Chunk, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray
         docs.append(few)
         grams.append(W.grams(h, n, at=first[few]))
     doc, gram = np.concatenate(docs), np.concatenate(grams)
-    order = np.argsort(gram, kind="stable")
-    d = doc[order]
-    order = order[np.argsort(d.astype(np.uint16) if len(chunk.ids) <= 1 << 16 else d, kind="stable")]
+    # By document, then by the hash's upper bits, which tell the shingles of one document apart.
+    room = np.uint64(max(1, len(chunk.ids).bit_length()))
+    order = np.argsort(doc.astype(np.uint64) << (np.uint64(64) - room) | gram >> room)
     doc, gram = doc[order], gram[order]
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1])
@@ -62,148 +69,209 @@ def bands(largest: int, alike=ALIKE) -> np.ndarray:
     return np.array([*out, (out[-1] + 1) * den // num])
 
 
-def furthest(m: np.ndarray, larger: np.ndarray, alike=ALIKE) -> np.ndarray:
+def furthest(m: int, larger: int, alike=ALIKE) -> int:
     """Most elements in which sets of these sizes can differ and still be linked."""
     num, den = alike
     return (m + larger) * (den - num) // (den + num)
 
 
+#: Elements that a signature covers at least, on average, where sets are large enough.
+COVERED = 3.4
+#: Share of sets that may need another partitioning, and how many partitionings there are.
+WEAK, SEEDS = 0.1, 3
+
+
+@cache
+def scheme(name: int, alike=ALIKE) -> tuple[int, int, int, int]:
+    """(n1, n2, k2, spare) for the sets that meet under this name: those of band ``name`` and of the one below.
+
+    Of n1 first-level partitions, spare + 1 at least have at most k2 differences.  A partition of a set
+    is unsafe if so many of its n2 parts are empty that a signature has no element.  A set with at most
+    ``spare`` unsafe ones shares a signature with elements.  Two sets of which neither is so, which are
+    few, meet in another partitioning, and at last in signatures without elements.  The fewest
+    signatures win among the schemes whose signatures cover enough elements.
+    """
+    upper = bands_to(name, alike)
+    small, large = (upper[name - 1] if name else 0), upper[name]
+    most = furthest(small, large, alike)
+    if not most:
+        return 1, 1, 0, 0
+    options = []
+    for k2 in range(min(most, 4) + 1):
+        for n2 in range(k2 + 1, k2 + 7):
+            base = most // (k2 + 1) + 1
+            mean, u = small / base, 0.0
+            for j in range(40 + int(3 * mean)):
+                crowded = 1.0 if j <= k2 else min(1.0, math.comb(n2, k2) * (k2 / n2) ** j)
+                u += crowded * (math.exp(j * math.log(mean) - mean - math.lgamma(j + 1)) if base > 1 else float(j == small))
+            spare = max(0, math.ceil(base * u + 1.3 * math.sqrt(base * u) - 0.5)) if base > 1 else 0
+            n1 = base + spare
+            options.append((n1 * math.comb(n2, k2), -small * (n2 - k2) / (n1 * n2), u if n1 == 1 else WEAK, (n1, n2, k2, spare)))
+    good = [o for o in options if -o[1] >= min(COVERED, 2 + 0.04 * small, 0.55 * small) and o[2] <= WEAK]
+    return min(good)[3] if good else min(options, key=lambda o: o[1])[3]
+
+
+def bands_to(name: int, alike=ALIKE) -> list[int]:
+    num, den = alike
+    out = [0]
+    while len(out) <= name:
+        out.append((out[-1] + 1) * den // num)
+    return out
+
+
 class _Signed:
     """Signatures of a chunk's distinct sets."""
 
-    def __init__(self, chunk: Chunk, alike=ALIKE):
-        num, den = alike
+    def __init__(self, chunk: Chunk, bits: int, alike=ALIKE):
         self.doc, self.gram = shingle_sets(chunk)
         n = len(chunk.ids)
         self.m = np.bincount(self.doc, minlength=n)
         self.start = np.concatenate([[0], np.cumsum(self.m)])
-        # Documents with equal sets have one representative, that with the least id.
         one, two = W.mix(self.gram), W.mix(self.gram ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-        sums = np.zeros((2, n), np.uint64)
         some = np.flatnonzero(self.m)
+        prints = np.zeros((2, n), np.uint64)
         if len(some):
             for k, x in enumerate((one, two)):
-                sums[k, some] = np.add.reduceat(x, self.start[some])
+                prints[k, some] = np.add.reduceat(x, self.start[some])
+        # Documents with equal sets have one representative, that with the least id.
         seen: dict = {}
-        self.rep = np.array([seen.setdefault((a, b, c) if c else -k, k) for k, (a, b, c) in enumerate(zip(*sums.tolist(), self.m.tolist()))], np.int64)
+        self.rep = np.array([seen.setdefault((a, b, c) if c else -k, k) for k, (a, b, c) in enumerate(zip(*prints.tolist(), self.m.tolist()))], np.int64)
         live = np.zeros(n, bool)
         live[np.unique(self.rep[some])] = True
-        upper = bands(int(self.m.max(initial=0)), alike)
-        band = np.searchsorted(upper, self.m)
-        element = live[self.doc]
-        doc, mixed = self.doc[element], one[element]
-        owner, sig, allow = [], [], []
+        self.live = np.flatnonzero(live)
+        # The name of a whole set among the signatures: equal sets of other chunks meet under it.
+        equal = W.mix(prints[0] ^ W.mix(prints[1] ^ self.m.astype(np.uint64))) >> np.uint64(64 - bits)
+        self.band = np.searchsorted(bands(int(self.m.max(initial=0)), alike), self.m)
+        owner, sig, steps = [self.live], [equal[self.live]], [np.full(len(self.live), 2, np.int8)]
         for step in (0, 1):
-            top = upper[np.minimum(band + step, len(upper) - 1)]
-            k = furthest(self.m, np.minimum(top, self.m * den // num), alike)
-            most = furthest(top, top, alike) + 1
-            parts = np.where(most == 1, 1, most + np.maximum(-(-most // 4), np.minimum(most, 8)))
-            parts = np.where(live, parts, 0)
-            base = np.concatenate([[0], np.cumsum(parts)])
-            slot = base[doc] + ((mixed >> np.uint64(32)) * parts[doc].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-            total = np.zeros(base[-1], np.uint64)
-            np.add.at(total, slot, W.mix(mixed))
-            full = np.bincount(slot, minlength=base[-1]) > 0
-            of = np.repeat(np.arange(n), parts)
-            part = np.arange(base[-1]) - base[of]
-            filled = np.bincount(of[full], minlength=n)
-            # Too few parts with elements: the empty ones count too, and all signatures are used.
-            weak = filled < k + 1
-            use = full | weak[of]
-            name = (band[of] + step).astype(np.uint64) << np.uint64(40) | part.astype(np.uint64) << np.uint64(1) | full.astype(np.uint64)
-            owner.append(of[use])
-            sig.append((W.mix(total ^ W.mix(name)) >> np.uint64(64 - SIG_BITS))[use])
-            allow.append(np.where(weak, parts, k + 1)[of[use]] * 2 + step)
-        self.owner, self.sig, self.allow = (np.concatenate(x) for x in (owner, sig, allow))
-        self.keys, self.index = np.unique(self.sig, return_inverse=True)
-
-    def rarest(self, count: np.ndarray) -> np.ndarray:
-        """Positions of the signatures to use: each set's rarest, if another set has them."""
-        seen = count[self.index]
-        order = np.lexsort((self.sig, seen, self.allow & 1, self.owner))
-        o, a = self.owner[order], self.allow[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (o[1:] != o[:-1]) | ((a[1:] ^ a[:-1]) & 1 == 1)
-        at = np.flatnonzero(new)
-        rank = np.arange(len(order)) - np.repeat(at, np.diff(np.concatenate([at, [len(order)]])))
-        return order[(rank < a >> 1) & (seen[order] >= 2)]
-
-
-def _pass0(chunk: Chunk, _: Replies):
-    s = _Signed(chunk)
-    return s.keys, (np.bincount(s.index, minlength=len(s.keys)),)
-
-
-def _used(chunk: Chunk, replies: Replies):
-    """(sets, owner of each signature in use, index of its key, keys, how central each document is).
+            for name in np.unique(self.band[self.live] + step).tolist():
+                mine = self.live[self.band[self.live] == name - step]
+                o, s = self._signatures(mine, name, one, two, alike)
+                owner.append(o)
+                sig.append(s >> np.uint64(64 - bits))
+                steps.append(np.full(len(o), step, np.int8))
+        self.owner, self.sig, self.step = np.concatenate(owner), np.concatenate(sig), np.concatenate(steps)
+        self.keys, _, self.index = W.distinct(self.sig)
+
+    def _signatures(self, mine, name, one, two, alike, seed=0):
+        n1, n2, k2, spare = scheme(name, alike)
+        size = self.m[mine]
+        at = np.repeat(self.start[mine] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        d = np.repeat(np.arange(len(mine)), size)
+        x = W.mix(one[at] + np.uint64(seed)) if seed else one[at]
+        part = (d * n1 + ((x >> np.uint64(32)) * np.uint64(n1) >> np.uint64(32)).astype(np.int64)) * n2 + ((x & np.uint64(0xFFFFFFFF)) * np.uint64(n2) >> np.uint64(32)).astype(np.int64)
+        sums = np.zeros(len(mine) * n1 * n2, np.uint64)
+        np.add.at(sums, part, two[at])
+        full = (np.bincount(part, minlength=len(sums)) > 0).reshape(len(mine), n1, n2)
+        sums = W.mix(sums + np.tile(np.arange(n2, dtype=np.uint64) + np.uint64(1), len(mine) * n1)).reshape(len(mine), n1, n2)
+        weak = (full.sum(2) <= k2).sum(1) > spare
+        last = seed == SEEDS - 1
+        first = np.uint64(seed) << np.uint64(56) | np.uint64(name) << np.uint64(40) | np.arange(n1, dtype=np.uint64) << np.uint64(8)
+        out_o, out_s = [], []
+        for c, parts in enumerate(combinations(range(n2), n2 - k2)):
+            total = sums[:, :, parts].sum(2, dtype=np.uint64)
+            use = full[:, :, parts].any(2)
+            if last:
+                use |= weak[:, None]
+            s = W.mix(total ^ W.mix(first | np.uint64(c))[None])
+            who, _ = np.nonzero(use)
+            out_o.append(mine[who])
+            out_s.append(s[use])
+        if weak.any() and not last:
+            o, s = self._signatures(mine[weak], name, one, two, alike, seed + 1)
+            out_o.append(o)
+            out_s.append(s)
+        return np.concatenate(out_o), np.concatenate(out_s)
+
+    def sketch(self, d: int, step: int) -> np.ndarray:
+        """Parities of the set's elements in buckets, as many as two to four times the elements of its band: where two differ, the sets do at least as often."""
+        top = bands_to(int(self.band[d]) + step)[-1]
+        n_bits = max(64, 1 << int(2 * top - 1).bit_length())
+        x = self.gram[self.start[d] : self.start[d + 1]]
+        bit = (W.mix(x ^ np.uint64(0xC3C3C3C3C3C3C3C3)) % np.uint64(n_bits)).astype(np.int64)
+        return np.packbits(np.bincount(bit, minlength=n_bits).astype(np.uint8) & 1).view(np.int64)
+
+
+def _used(chunk: Chunk, replies: Replies, bits: int):
+    """(sets, positions of the signatures that other sets have too, their keys, index of each one's key, how central each document is).
 
     A document is the more central the more documents share its signatures; among edited copies of one
     text that is the text itself, to which all copies are linked, though not to each other.
     """
-    s = _Signed(chunk)
+    s = _Signed(chunk, bits)
     got = replies[0]
-    use = s.rarest(got[1]) if got is not None else np.zeros(0, np.int64)
-    keys, index = np.unique(s.sig[use], return_inverse=True)
-    owner = s.owner[use]
-    shared = got[1][s.index[use]].astype(np.float64) if got is not None else np.zeros(0)
-    central = np.bincount(owner, weights=shared, minlength=len(chunk.ids)).astype(np.int64)
-    return s, owner, index, keys, central
-
-
-def _pass1(chunk: Chunk, replies: Replies):
-    _, owner, index, keys, central = _used(chunk, replies)
-    order = np.lexsort((chunk.ids[owner], -central[owner], index))
-    lead = owner[order[np.searchsorted(index[order], np.arange(len(keys)))]]
-    return keys, (np.bincount(index, minlength=len(keys)), central[lead], chunk.ids[lead])
-
-
-NODES = "doc_id long, rep long, n_shingles long, shingles binary, leaders array<long>, sigs array<long>, sketch array<long>"
-
-
-def _nodes(chunk: Chunk, replies: Replies) -> pa.Table:
-    """A row per document; representatives with a candidate carry their set, its leaders and signatures."""
-    s, owner, index, keys, _ = _used(chunk, replies)
-    got, n = replies[1], len(chunk.ids)
-    leaders, sigs = [None] * n, [None] * n
-    shingles: list[bytes | None] = [None] * n
-    sketch: list = [None] * n
-    if got is not None and len(owner):
-        shared = got[1][index] >= 2
-        o, i = owner[shared], index[shared]
-        order = np.argsort(o, kind="stable")
-        o, i = o[order], i[order]
-        at = np.flatnonzero(np.concatenate([np.ones(min(1, len(o)), bool), o[1:] != o[:-1]]))
-        bit = s.doc * (64 * SKETCH) + (W.mix(s.gram ^ np.uint64(0xC3C3C3C3C3C3C3C3)) % np.uint64(64 * SKETCH)).astype(np.int64)
-        parity = np.packbits(np.bincount(bit, minlength=n * 64 * SKETCH).astype(np.uint8) & 1).view(np.int64).reshape(n, SKETCH)
-        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(o)]):
-            d = int(o[a])
-            lead = np.unique(got[3][i[a:b]])
-            leaders[d] = lead[lead != chunk.ids[d]].tolist()
-            sigs[d] = keys[np.unique(i[a:b])].astype(np.int64)
-            sketch[d] = parity[d].tolist()
-            shingles[d] = s.gram[s.start[d] : s.start[d + 1]].tobytes()
-    rep = chunk.ids[s.rep] if n else chunk.ids
-    return pa.table({
-        "doc_id": pa.array(chunk.ids, pa.int64()), "rep": pa.array(rep, pa.int64()), "n_shingles": pa.array(s.m, pa.int64()), "shingles": pa.array(shingles, pa.binary()),
-        "leaders": pa.array(leaders, pa.list_(pa.int64())), "sigs": pa.array(sigs, pa.list_(pa.int64())), "sketch": pa.array(sketch, pa.list_(pa.int64())),
-    })
-
-
-def _may_link(a: str, b: str):
-    """Whether sets can be linked going by their sizes and sketches; false only if they certainly aren't."""
-    num, den = ALIKE
-    n_a, n_b = F.col(f"n_{a}"), F.col(f"n_{b}")
-    differ = sum((F.bit_count(F.get(f"sk_{a}", F.lit(i)).bitwiseXOR(F.get(f"sk_{b}", F.lit(i)))) for i in range(SKETCH)), F.lit(0))
-    return (n_a * den >= n_b * num) & (n_b * den >= n_a * num) & (differ * (den + num) <= (n_a + n_b) * (den - num))
+    count = got[1].astype(np.int64)[s.index] if got is not None else np.zeros(0, np.int64)
+    use = np.flatnonzero(count >= 2)
+    keys, _, index = W.distinct(s.sig[use])
+    central = np.bincount(s.owner[use], weights=count[use], minlength=len(chunk.ids)).astype(np.int64)
+    return s, use, keys, index, central
+
+
+NODES = "doc_id long, rep long, n_shingles long, shingles binary, leaders array<long>, sigs array<array<long>>, sketch array<array<long>>"
+
+
+def _passes(bits: int):
+    def pass0(chunk: Chunk, _: Replies):
+        s = _Signed(chunk, bits)
+        return s.keys, (np.bincount(s.index, minlength=len(s.keys)),)
+
+    def pass1(chunk: Chunk, replies: Replies):
+        s, use, keys, index, central = _used(chunk, replies, bits)
+        owner = s.owner[use]
+        order = np.lexsort((chunk.ids[owner], -central[owner], index))
+        lead = owner[order[np.searchsorted(index[order], np.arange(len(keys)))]]
+        return keys, (central[lead], chunk.ids[lead])
+
+    def nodes(chunk: Chunk, replies: Replies) -> pa.Table:
+        """A row per document; representatives with a candidate carry their set, its leaders, signatures and sketches."""
+        s, use, _, index, _ = _used(chunk, replies, bits)
+        got, n = replies[1], len(chunk.ids)
+        leaders, sigs, sketch, shingles = ([None] * n for _ in range(4))
+        rep = chunk.ids[s.rep] if n else chunk.ids
+        if got is not None and len(use):
+            owner, lead = s.owner[use], got[2][index]
+            step, sig = s.step[use], s.sig[use].astype(np.int64)
+            whole = step == 2
+            equal = chunk.ids.copy()
+            equal[owner[whole]] = lead[whole]  # a set that another chunk has too, under a lesser id, is looked at there
+            rep = equal[s.rep]
+            mine = np.flatnonzero(~whole & (equal[owner] == chunk.ids[owner]))
+            mine = mine[np.lexsort((step[mine], owner[mine]))]
+            owner, step, sig, lead = owner[mine], step[mine], sig[mine], lead[mine]
+            place = owner * 2 + step
+            edge = lambda d, k: np.searchsorted(place, 2 * d + k)
+            for d in np.unique(owner).tolist():
+                a, b, c = edge(d, 0), edge(d, 1), edge(d, 2)
+                found = np.unique(lead[a:c])
+                leaders[d] = found[found != chunk.ids[d]].tolist()
+                sigs[d] = [sig[a:b].tolist(), sig[b:c].tolist()]
+                sketch[d] = [s.sketch(d, k).tolist() for k in (0, 1)]
+                shingles[d] = s.gram[s.start[d] : s.start[d + 1]].tobytes()
+        lists = pa.list_(pa.list_(pa.int64()))
+        return pa.table({
+            "doc_id": pa.array(chunk.ids, pa.int64()), "rep": pa.array(rep, pa.int64()), "n_shingles": pa.array(s.m, pa.int64()), "shingles": pa.array(shingles, pa.binary()),
+            "leaders": pa.array(leaders, pa.list_(pa.int64())), "sigs": pa.array(sigs, lists), "sketch": pa.array(sketch, lists),
+        })
+
+    return pass0, pass1, nodes
+
+
+def _copies(pairs: DataFrame, c: str) -> DataFrame:
+    """(c, copies): into how many copies the set of each document of a column of pairs goes."""
+    return pairs.groupBy(c).agg(F.ceil(F.count("*") / F.lit(PER_COPY)).cast("int").alias("copies"))
+
+
+def _with_set(pairs: DataFrame, sets: DataFrame, c: str) -> DataFrame:
+    """``pairs`` with the set ``s_c`` of the document in column ``c``; one in very many pairs is dealt to several tasks."""
+    copies = _copies(pairs, c)
+    dealt = pairs.join(copies.where("copies > 1"), c, "left").withColumn("copy", F.coalesce(F.pmod(F.xxhash64("a", "b"), F.col("copies")), F.lit(0)).cast("int")).drop("copies")
+    own = sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s_{c}")).join(copies, c).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    return dealt.join(own, [c, "copy"]).drop("copy")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, alike=ALIKE) -> DataFrame:
     """The pairs (a, b) whose sets are alike enough, compared element by element."""
     num, den = alike
-    brief = lambda c: sets.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sk_{c}"))
-    full = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s_{c}"))
-    near = stored(pairs.join(brief("b"), "b").join(brief("a"), "a").where(_may_link("a", "b")).select("a", "b"), "near")
-    near = near.join(full("b"), "b").join(full("a"), "a").select("a", "b", "s_a", "s_b")
 
     def compare(batches):
         for b in batches:
@@ -215,38 +283,51 @@ def _linked(pairs: DataFrame, sets: DataFrame, alike=ALIKE) -> DataFrame:
                 keep.append(den * inter >= num * (len(x) + len(y) - inter))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return near.mapInArrow(compare, "a long, b long")
+    return _with_set(_with_set(pairs, sets, "b"), sets, "a").select("a", "b", "s_a", "s_b").mapInArrow(compare, "a long, b long")
+
+
+def _may_link(alike=ALIKE):
+    """Whether two sets under one signature can be linked, by sizes and sketches; false only if they certainly aren't."""
+    num, den = alike
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    differ = F.aggregate(F.zip_with("sk_a", "sk_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return (n_a * den >= n_b * num) & (n_b * den >= n_a * num) & (differ * (den + num) <= (n_a + n_b) * (den - num))
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", **exchange) -> DataFrame:
     """(doc_id, n_shingles, component_id): the near-duplicate component of every document.
 
-    A text without words has no shingles and stands alone.  Rows without an id are left out; rows that
-    repeat an id are one node, and each gives a row.
+    A null or empty text, or one without words, has no shingles and stands alone.  Rows without an id
+    are left out; rows that repeat an id are one node, and each gives a row.  A text longer than a
+    chunk is a chunk of its own, and is compared whole.
     """
-    spark, before = docs.sparkSession, len(scratch)
-    chunks = chunked(docs, key, text)
-    groups = n_groups(chunks)
-    r0 = ask(chunks, None, 0, _pass0, ["sum"], groups, SIG_BITS)
-    r1 = ask(chunks, r0, 1, _pass1, ["sum", "max", "least at max"], groups, SIG_BITS)
-    nodes = stored(visit(chunks, r0.unionByName(r1), _nodes, NODES), "nodes")
-    drop_scratch(spark, before, but_last=1)  # the texts and replies aren't needed any more
-    sets = nodes.where("shingles is not null").select("doc_id", "n_shingles", "shingles", "sketch")
-    first = nodes.where("leaders is not null").select(F.explode("leaders").alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct()
-    tried = stored(first, "pairs")
-    links = stored(_linked(tried, sets), "links")
-    labels = components(links)
-    # Signatures whose documents aren't all in one component: the pairs across components remain.
-    member = nodes.where("sigs is not null").select(F.col("doc_id").alias("node"), F.explode("sigs").alias("sig"), "n_shingles").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    member = stored(member, "members")
-    mixed = member.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("sig")
-    open_ = member.join(mixed, "sig", "left_semi").join(sets.select(F.col("doc_id").alias("node"), F.col("sketch").alias("sk_a")), "node")
-    left = stored(open_.withColumnRenamed("n_shingles", "n_a"), "open")
-    other = left.select("sig", F.col("node").alias("node_2"), F.col("label").alias("label_2"), F.col("n_a").alias("n_b"), F.col("sk_a").alias("sk_b"))
-    pairs = left.join(other, (left["sig"] == other["sig"]) & (F.col("label") < F.col("label_2")) & _may_link("a", "b"))
-    pairs = pairs.select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")).distinct()
-    pairs = pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = stored(_linked(pairs, sets), "links")
-    if more.limit(1).count():
-        labels = components(links.unionByName(more))
-    return nodes.select("doc_id", "rep", "n_shingles").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
+    spark = docs.sparkSession
+    with Scratch(spark) as scratch:
+        with Scratch(spark) as own, Exchange(docs, own, key=key, text=text, **exchange) as ex:
+            # So many bits that signatures of different sets seldom have one name; it would cost a comparison.
+            bits = min(64, max(42, int(ex.n_bytes).bit_length() + 12))
+            pass0, pass1, visit = _passes(bits)
+            ex.ask(0, pass0, ["sum"], bits, finish=lambda x: [np.minimum(x[0], 255)])
+            ex.ask(1, pass1, ["max", "least at max"], bits)
+            nodes = scratch.store(ex.visit(visit, NODES), "nodes")
+        sets = nodes.where("shingles is not null").select("doc_id", "shingles")
+        first = nodes.where("leaders is not null").select(F.explode("leaders").alias("a"), F.col("doc_id").alias("b")).distinct()
+        tried = scratch.store(first, "pairs")
+        links = scratch.store(_linked(tried, sets).unionByName(nodes.where("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))), "links")
+        labels = components(links, scratch)
+        # Signatures whose documents aren't all in one component: the pairs across components remain.
+        each = nodes.where("sigs is not null").select(F.col("doc_id").alias("node"), "n_shingles", F.posexplode("sigs").alias("step", "own"), "sketch")
+        member = each.select("node", "n_shingles", F.explode("own").alias("sig"), "step").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        mixed = member.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("sig")
+        open_ = scratch.store(member.join(mixed, "sig", "left_semi"), "open")
+        sketched = nodes.where("sigs is not null").select(F.col("doc_id").alias("node"), F.posexplode("sketch").alias("step", "sk"))
+        left = open_.join(sketched, ["node", "step"]).select("sig", "node", "label", F.col("n_shingles").alias("n_a"), F.col("sk").alias("sk_a"))
+        other = left.select("sig", F.col("node").alias("node_2"), F.col("label").alias("label_2"), F.col("n_a").alias("n_b"), F.col("sk_a").alias("sk_b"))
+        pairs = left.join(other, (left["sig"] == other["sig"]) & (F.col("label") < F.col("label_2")) & _may_link())
+        pairs = pairs.select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")).distinct()
+        pairs = pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+        more = scratch.store(_linked(scratch.store(pairs, "left"), sets), "links")
+        if more.limit(1).count():
+            labels = components(links.unionByName(more), scratch)
+        found = nodes.select("doc_id", "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
+        return Scratch(spark).store(found, "components")
