@@ -243,7 +243,9 @@ class Exchange:
         if what not in self.names:
             self.names[what] = f"corvane_{uuid.uuid4().hex}", self.scratch.path(what)
         name, path = self.names[what]
-        rows.write.format("parquet").mode("append").option("compression", "zstd" if what == "replies" else "none").option("path", path).bucketBy(self.n, "chunk").saveAsTable(name)
+        if what == "replies":  # a file for each bucket, where it would be one for each task and bucket
+            rows = rows.repartition(self.n, "chunk")
+        rows.write.format("parquet").mode("append").option("compression", "zstd" if what == "replies" else "none").option("parquet.enable.dictionary", "false").option("path", path).bucketBy(self.n, "chunk").saveAsTable(name)
         gc.collect()  # lets Spark remove the shuffle files of this pass now
         self.spark._jvm.System.gc()
         return self.spark.table(name)

@@ -106,7 +106,7 @@ class _View:
         shorter = total if k == 1 else self.counts[k - 2][at - 1]
         return at, before[at - 1], self.counts[k][at], self.counts[k - 1][at] / shorter
 
-    def evidence(self, depth: int, total: float):
+    def evidence(self, depth: int, total: float, bits: int):
         """(keys, numbers) to ask about contexts, and the keys' indexes at each order's positions, -1 where nothing is asked.
 
         An event is added up by the chunk that owns it, so each counts once.  Where all but one of a
@@ -119,8 +119,7 @@ class _View:
             mine[self.owned[k - 1]] = True
             mine = mine[at] & (c >= LEAST)
             asks = np.flatnonzero(mine | (n - c > 1))
-            key, some, index = W.distinct(W.grams(self.t.hash, k, 1, at=at[asks] - k))
-            key = key >> np.uint64(2) << np.uint64(2) | np.uint64(k & 3)
+            key, some, index = W.distinct(W.grams(self.t.hash, k, 1, at=at[asks] - k) >> np.uint64(64 - bits))
             own = np.flatnonzero(mine[asks])
             add = lambda x: np.bincount(index[own], weights=x, minlength=len(key))  # noqa: B023, E731
             cc, nn, ss = (x[asks][own].astype(float) for x in (c, n, share))
@@ -135,10 +134,10 @@ class _View:
         rank[order], rank[-1] = np.arange(len(order)), -1
         return key[order], [np.concatenate(x)[order] for x in zip(*parts)], [rank[p] for p in places]
 
-    def probabilities(self, depth: int, total: float, words: int, got) -> tuple[np.ndarray, np.ndarray]:
+    def probabilities(self, depth: int, total: float, words: int, got, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """(by the root, by the longest state) of every token."""
         root = (self.counts[0] + 1) / (total + words + 1)
-        out, places = root.copy(), self.evidence(depth, total)[2]
+        out, places = root.copy(), self.evidence(depth, total, bits)[2]
         for k in range(1, depth + 1):
             at, n, c, share = self.contexts(k, total)
             own = np.where(c >= LEAST, c, 0)
@@ -199,14 +198,14 @@ def score(docs: DataFrame, depth: int = DEPTH, key: str = "doc_id", text: str =
                 break
 
         def contexts_of(t, replies):
-            return _View(t, replies, reached, bits).evidence(reached, total)[:2]
+            return _View(t, replies, reached, bits).evidence(reached, total, bits)[:2]
 
-        ex.ask(depth + 1, contexts_of, ["max", "sum", "sum", "sum"], finish=lambda x: [_kept(*x)])
+        ex.ask(depth + 1, contexts_of, ["max", "sum", "sum", "sum"], bits, finish=lambda x: [_kept(*x)])
 
         def final(t: Tokens, replies: Replies) -> pa.Table:
             v = _View(t, replies, reached, bits)
             per = lambda x=None: np.bincount(t.doc, weights=x, minlength=t.n)
-            root, best = v.probabilities(reached, total, words, replies[depth + 1])
+            root, best = v.probabilities(reached, total, words, replies[depth + 1], bits)
             return pa.table({
                 "doc_id": pa.array(t.ids, pa.int64()), "held_out": pa.array([not in_training(i) for i in t.ids.tolist()], pa.bool_()), "n_tokens": pa.array(per(), pa.int64()), "n_known": pa.array(per(v.counts[0] > 0).astype(np.int64), pa.int64()),
                 "train_tokens": pa.array(np.full(t.n, int(total)), pa.int64()), "base_score": pa.array(per(np.log10(root))), "score": pa.array(per(np.log10(best))),
