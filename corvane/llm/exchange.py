@@ -39,7 +39,7 @@ REPLY = "chunk long, pass int, grp long, body binary, n_keys long, total double"
 
 
 def _forms(a: np.ndarray) -> list[np.ndarray]:
-    """The array in few bytes: bits for booleans, small numbers with the few large ones apart, or only what isn't zero."""
+    """The array in few bytes: bits for booleans, one to four bytes for numbers with the few larger ones apart, or only what isn't zero."""
     if a.dtype.kind == "b":
         return [np.array([1, len(a)]), np.packbits(a)]
     if a.dtype.kind == "f":
@@ -48,6 +48,9 @@ def _forms(a: np.ndarray) -> list[np.ndarray]:
             return [np.array([2, len(a)]), np.packbits(some), a[some]]
         return [np.array([0]), a]
     if len(a) and a.min() >= 0:
+        over = np.flatnonzero(a >= 1 << 24)
+        if a.itemsize > 4 and np.count_nonzero(a >= 1 << 16) * 4 > len(a) and len(over) * 12 < len(a):
+            return [np.array([4]), (a & 0xFFFF).astype(np.uint16), (np.minimum(a, (1 << 24) - 1) >> 16).astype(np.uint8), over.astype(np.uint32), a[over]]
         best = None
         for kind in (np.uint8, np.uint16, np.uint32):
             if a.itemsize <= kind().itemsize:
@@ -89,9 +92,12 @@ def load(data: bytes) -> list[np.ndarray]:
         elif code == 2:
             a = np.zeros(int(forms[0][1]), forms[2].dtype)
             a[np.unpackbits(forms[1], count=len(a)).astype(bool)] = forms[2]
-        else:
+        elif code == 3:
             a = forms[1].astype(forms[3].dtype)
             a[forms[2]] = forms[3]
+        else:
+            a = forms[1].astype(forms[4].dtype) | forms[2].astype(forms[4].dtype) << 16
+            a[forms[3]] = forms[4]
         out.append(a)
     return out
 

@@ -76,7 +76,7 @@ def furthest(m: int, larger: int, alike=ALIKE) -> int:
 
 
 #: Elements that a signature covers at least, on average, where sets are large enough.
-COVERED = 3.4
+COVERED = 2.8
 #: Share of sets that may need another partitioning, and how many partitionings there are.
 WEAK, SEEDS = 0.1, 3
 
@@ -93,6 +93,7 @@ def scheme(name: int, alike=ALIKE) -> tuple[int, int, int, int]:
     """
     upper = bands_to(name, alike)
     small, large = (upper[name - 1] if name else 0), upper[name]
+    least = (upper[name - 2] if name > 1 else 0) * 9 // 10 + small // 10 + 1
     most = furthest(small, large, alike)
     if not most:
         return 1, 1, 0, 0
@@ -100,12 +101,14 @@ def scheme(name: int, alike=ALIKE) -> tuple[int, int, int, int]:
     for k2 in range(min(most, 4) + 1):
         for n2 in range(k2 + 1, k2 + 7):
             base = most // (k2 + 1) + 1
-            mean, u = small / base, 0.0
-            for j in range(40 + int(3 * mean)):
-                crowded = 1.0 if j <= k2 else min(1.0, math.comb(n2, k2) * (k2 / n2) ** j)
-                u += crowded * (math.exp(j * math.log(mean) - mean - math.lgamma(j + 1)) if base > 1 else float(j == small))
-            spare = max(0, math.ceil(base * u + 1.3 * math.sqrt(base * u) - 0.5)) if base > 1 else 0
-            n1 = base + spare
+            n1, spare, u = base, 0, 0.0
+            for _ in range(4 if base > 1 else 1):  # more partitions have fewer elements each
+                mean, u = least / n1, 0.0
+                for j in range(40 + int(3 * mean)):
+                    crowded = 1.0 if j <= k2 else min(1.0, math.comb(n2, k2) * (k2 / n2) ** j)
+                    u += crowded * (math.exp(j * math.log(mean) - mean - math.lgamma(j + 1)) if base > 1 else float(j == least))
+                spare = max(0, math.ceil(n1 * u + 1.3 * math.sqrt(n1 * u) - 0.5)) if base > 1 else 0
+                n1 = base + spare
             options.append((n1 * math.comb(n2, k2), -small * (n2 - k2) / (n1 * n2), u if n1 == 1 else WEAK, (n1, n2, k2, spare)))
     good = [o for o in options if -o[1] >= min(COVERED, 2 + 0.04 * small, 0.55 * small) and o[2] <= WEAK]
     return min(good)[3] if good else min(options, key=lambda o: o[1])[3]
@@ -183,13 +186,19 @@ class _Signed:
             out_s.append(s)
         return np.concatenate(out_o), np.concatenate(out_s)
 
-    def sketch(self, d: int, step: int) -> np.ndarray:
-        """Parities of the set's elements in buckets, as many as two to four times the elements of its band: where two differ, the sets do at least as often."""
-        top = bands_to(int(self.band[d]) + step)[-1]
-        n_bits = max(64, 1 << int(2 * top - 1).bit_length())
-        x = self.gram[self.start[d] : self.start[d + 1]]
-        bit = (W.mix(x ^ np.uint64(0xC3C3C3C3C3C3C3C3)) % np.uint64(n_bits)).astype(np.int64)
-        return np.packbits(np.bincount(bit, minlength=n_bits).astype(np.uint8) & 1).view(np.int64)
+    def sketches(self, docs: np.ndarray, step: int) -> pa.Array:
+        """Parities of the elements of these documents' sets in buckets, two to four times as many as the largest set of the name has.
+
+        Where two sketches differ, the sets do at least as often.
+        """
+        tops = np.array(bands_to(int(self.band.max(initial=0)) + step))[self.band[docs] + step]
+        n_bits = np.maximum(64, 1 << np.ceil(np.log2(2 * tops)).astype(np.int64))
+        base = np.concatenate([[0], np.cumsum(n_bits)])
+        size = self.m[docs]
+        at = np.repeat(self.start[docs] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        bit = (W.mix(self.gram[at] ^ np.uint64(0xC3C3C3C3C3C3C3C3)) & np.repeat(n_bits.astype(np.uint64) - np.uint64(1), size)).astype(np.int64)
+        parity = np.bincount(bit + np.repeat(base[:-1], size), minlength=base[-1]).astype(np.uint8) & 1
+        return pa.ListArray.from_arrays(pa.array(base // 64, pa.int32()), pa.array(np.packbits(parity).view(np.int64)))
 
 
 def _used(chunk: Chunk, replies: Replies, bits: int):
@@ -207,7 +216,7 @@ def _used(chunk: Chunk, replies: Replies, bits: int):
     return s, use, keys, index, central
 
 
-NODES = "doc_id long, rep long, n_shingles long, shingles binary, leaders array<long>, sigs array<array<long>>, sketch array<array<long>>"
+NODES = "doc_id long, rep long, n_shingles long, shingles binary, entries array<struct<leader:long,step:int,sigs:array<long>>>, sketch_0 array<long>, sketch_1 array<long>"
 
 
 def _passes(bits: int):
@@ -223,34 +232,33 @@ def _passes(bits: int):
         return keys, (central[lead], chunk.ids[lead])
 
     def nodes(chunk: Chunk, replies: Replies) -> pa.Table:
-        """A row per document; representatives with a candidate carry their set, its leaders, signatures and sketches."""
+        """A row per document; representatives with a candidate carry their set, its signatures by leader, and sketches."""
         s, use, _, index, _ = _used(chunk, replies, bits)
         got, n = replies[1], len(chunk.ids)
-        leaders, sigs, sketch, shingles = ([None] * n for _ in range(4))
-        rep = chunk.ids[s.rep] if n else chunk.ids
-        if got is not None and len(use):
-            owner, lead = s.owner[use], got[2][index]
-            step, sig = s.step[use], s.sig[use].astype(np.int64)
-            whole = step == 2
-            equal = chunk.ids.copy()
-            equal[owner[whole]] = lead[whole]  # a set that another chunk has too, under a lesser id, is looked at there
-            rep = equal[s.rep]
-            mine = np.flatnonzero(~whole & (equal[owner] == chunk.ids[owner]))
-            mine = mine[np.lexsort((step[mine], owner[mine]))]
-            owner, step, sig, lead = owner[mine], step[mine], sig[mine], lead[mine]
-            place = owner * 2 + step
-            edge = lambda d, k: np.searchsorted(place, 2 * d + k)
-            for d in np.unique(owner).tolist():
-                a, b, c = edge(d, 0), edge(d, 1), edge(d, 2)
-                found = np.unique(lead[a:c])
-                leaders[d] = found[found != chunk.ids[d]].tolist()
-                sigs[d] = [sig[a:b].tolist(), sig[b:c].tolist()]
-                sketch[d] = [s.sketch(d, k).tolist() for k in (0, 1)]
-                shingles[d] = s.gram[s.start[d] : s.start[d + 1]].tobytes()
-        lists = pa.list_(pa.list_(pa.int64()))
+        step, sig, owner = s.step[use], s.sig[use].astype(np.int64), s.owner[use]
+        lead = got[2][index] if got is not None else owner[:0]
+        equal = chunk.ids.copy()
+        equal[owner[step == 2]] = lead[step == 2]  # a set that another chunk has too, under a lesser id, is looked at there
+        mine = np.flatnonzero((step < 2) & (equal[owner] == chunk.ids[owner]))
+        mine = mine[np.lexsort((lead[mine], step[mine], owner[mine]))]
+        owner, step, sig, lead = owner[mine], step[mine], sig[mine], lead[mine]
+        new = np.ones(len(owner), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (step[1:] != step[:-1]) | (lead[1:] != lead[:-1])
+        at = np.flatnonzero(new)
+        entries = pa.StructArray.from_arrays([pa.array(lead[at], pa.int64()), pa.array(step[at], pa.int32()), pa.ListArray.from_arrays(pa.array(np.append(at, len(owner)), pa.int32()), pa.array(sig))], ["leader", "step", "sigs"])
+        edge = np.searchsorted(owner[at], np.arange(n + 1))
+        some = np.flatnonzero(np.diff(edge))
+        whole = np.zeros(n, bool)
+        whole[some] = True
+        data = s.gram[whole[s.doc]]
+        offsets = np.concatenate([[0], np.cumsum(np.where(whole, s.m, 0))]) * 8
+        place = np.full(n, -1)
+        place[some] = np.arange(len(some))
+        sketch = [s.sketches(some, k).take(pa.array(place, pa.int64(), mask=place < 0)) for k in (0, 1)] if len(some) else [pa.nulls(n, pa.list_(pa.int64()))] * 2
         return pa.table({
-            "doc_id": pa.array(chunk.ids, pa.int64()), "rep": pa.array(rep, pa.int64()), "n_shingles": pa.array(s.m, pa.int64()), "shingles": pa.array(shingles, pa.binary()),
-            "leaders": pa.array(leaders, pa.list_(pa.int64())), "sigs": pa.array(sigs, lists), "sketch": pa.array(sketch, lists),
+            "doc_id": pa.array(chunk.ids, pa.int64()), "rep": pa.array(equal[s.rep] if n else chunk.ids, pa.int64()), "n_shingles": pa.array(s.m, pa.int64()),
+            "shingles": pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary()),
+            "entries": pa.ListArray.from_arrays(pa.array(edge, pa.int32()), entries), "sketch_0": sketch[0], "sketch_1": sketch[1],
         })
 
     return pass0, pass1, nodes
@@ -310,18 +318,22 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", **exchange) -
             ex.ask(0, pass0, ["sum"], bits, finish=lambda x: [np.minimum(x[0], 255)])
             ex.ask(1, pass1, ["max", "least at max"], bits)
             nodes = scratch.store(ex.visit(visit, NODES), "nodes")
-        sets = nodes.where("shingles is not null").select("doc_id", "shingles")
-        first = nodes.where("leaders is not null").select(F.explode("leaders").alias("a"), F.col("doc_id").alias("b")).distinct()
-        tried = scratch.store(first, "pairs")
+        some = nodes.where(F.size("entries") > 0)
+        sets = some.select("doc_id", "shingles")
+        led = scratch.store(some.select(F.col("doc_id").alias("node"), F.explode("entries.leader").alias("leader")).distinct(), "led")
+        tried = led.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b"))
         links = scratch.store(_linked(tried, sets).unionByName(nodes.where("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))), "links")
         labels = components(links, scratch)
-        # Signatures whose documents aren't all in one component: the pairs across components remain.
-        each = nodes.where("sigs is not null").select(F.col("doc_id").alias("node"), "n_shingles", F.posexplode("sigs").alias("step", "own"), "sketch")
-        member = each.select("node", "n_shingles", F.explode("own").alias("sig"), "step").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = member.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("sig")
-        open_ = scratch.store(member.join(mixed, "sig", "left_semi"), "open")
-        sketched = nodes.where("sigs is not null").select(F.col("doc_id").alias("node"), F.posexplode("sketch").alias("step", "sk"))
-        left = open_.join(sketched, ["node", "step"]).select("sig", "node", "label", F.col("n_shingles").alias("n_a"), F.col("sk").alias("sk_a"))
+        # Signatures with a document that isn't in its leader's component: the pairs across components remain.
+        label = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+        named = scratch.store(led.join(label("node"), "node", "left").join(label("leader"), "leader", "left").select("node", "leader", F.coalesce("node_label", "node").alias("label"), F.coalesce("leader_label", "leader").alias("leader_label")), "named")
+        apart = named.where("label <> leader_label").select("leader").distinct()
+        met = named.join(apart, "leader", "left_semi")
+        each = some.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("entries").alias("e")).select("node", "n", F.col("e.leader").alias("leader"), F.col("e.step").alias("step"), F.col("e.sigs").alias("sigs"))
+        member = scratch.store(each.join(met, ["node", "leader"]).select("node", "n", "step", "label", "leader_label", F.explode("sigs").alias("sig")), "member")
+        open_ = member.join(member.where("label <> leader_label").select("sig").distinct(), "sig", "left_semi")
+        sketched = some.select(F.col("doc_id").alias("node"), F.posexplode(F.array("sketch_0", "sketch_1")).alias("step", "sk"))
+        left = scratch.store(open_.join(sketched, ["node", "step"]).select("sig", "node", "label", F.col("n").alias("n_a"), F.col("sk").alias("sk_a")), "open")
         other = left.select("sig", F.col("node").alias("node_2"), F.col("label").alias("label_2"), F.col("n_a").alias("n_b"), F.col("sk_a").alias("sk_b"))
         pairs = left.join(other, (left["sig"] == other["sig"]) & (F.col("label") < F.col("label_2")) & _may_link())
         pairs = pairs.select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")).distinct()
