@@ -9,38 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from corvane.llm.frames import texts
-from corvane.llm.tokens import cuts, rank_encoding
-
-#: Characters from which on a text is cut at safe boundaries before it is encoded.
-LONG = 1 << 16
-
-
-def split_safely(text: str, longest: int = LONG) -> list[str]:
-    """Pieces of about ``longest`` bytes whose ids, one after the other, are those of the text.
-
-    Cuts lie only before a space that follows a character that isn't white space; a text without
-    such a place stays whole.
-    """
-    if len(text) <= longest:
-        return [text]
-    raw = np.frombuffer(text.encode("utf-8"), np.uint8)
-    at = cuts(raw)
-    if not len(at):
-        return [text]
-    chosen = at[np.unique(np.searchsorted(at, np.arange(longest, len(raw), longest)).clip(max=len(at) - 1))]
-    edge = [0, *chosen.tolist(), len(raw)]
-    data = raw.tobytes()
-    return [str(data[a:b], "utf-8") for a, b in zip(edge, edge[1:])]
-
-
-def encode_text(enc, text: str) -> np.ndarray:
-    return np.concatenate([np.asarray(enc.encode_ordinary(x), np.uint32) for x in split_safely(text)])
-
+from corvane.llm.tokens import encode_text, rank_encoding
 
 def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids array<long>, n_tokens) of every whole text.
 
-    A null or empty text has no ids; repeated rows give repeated rows; other columns are left out.
+    A null or empty text has no ids; repeated rows give repeated rows, also without an id; other
+    columns are left out.  Texts and runs of white space of any length are encoded whole.
     """
 
     def run(batches):
@@ -58,7 +33,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text:
 def decode(rows: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, bytes binary): the raw bytes that each row's ids spell, and the ids' digest.
 
-    Null ids count as none.  Ids need not end at a character's end: bytes are returned, not text.
+    Null ids count as none.  Ids need not end at a character's end: bytes are returned, not text.  A
+    row with an id that the rank file doesn't have gets null bytes; the digest covers the ids as they are.
     """
 
     def run(batches):
@@ -74,9 +50,13 @@ def decode(rows: DataFrame, ranks: str, pattern: str) -> DataFrame:
             out, digests = [], []
             for k in range(len(lists)):
                 got = lists[k].values
-                ids = np.zeros(0, np.int64) if got is None else np.asarray(got)
-                digests.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                p = place[ids]
+                ids = np.zeros(0, np.int64) if got is None else np.asarray(got.fill_null(-1))
+                digests.append(hashlib.sha256(ids.astype(np.int64).astype("<u4").tobytes()).hexdigest())
+                known = (ids >= 0) & (ids < len(place))
+                p = place[np.where(known, ids, 0)]
+                if not known.all() or (p < 0).any():
+                    out.append(None)
+                    continue
                 n = at[p + 1] - at[p]
                 total = np.cumsum(n)
                 step = np.repeat(at[p] - (total - n), n)

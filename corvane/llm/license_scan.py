@@ -71,7 +71,7 @@ TEMPLATES = {
 }
 UNKNOWN = "unknown"
 BUCKETS = 1 << 15
-#: Paragraphs of the corpus that stand for ``unknown`` in training, at most.
+#: Paragraphs of the corpus that stand for ``unknown`` in training, about.
 SAMPLE = 4_000
 #: Least calibrated probability, and least share of a paragraph's bigrams found in a template, or of a
 #: template's bigrams found in a window.
@@ -205,27 +205,26 @@ def _softmax(z):
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, seed: int = 7) -> Model:
     """Fits on the templates, with words left out or changed at random, against paragraphs of the corpus.
 
-    The corpus gives at most ``sample`` paragraphs from documents chosen by hash; those much like a
-    template are not used.  The temperature is calibrated on the half that the weights haven't seen.
+    The corpus gives about ``sample`` paragraphs, one each of documents chosen by the hash of their
+    ids; those much like a template are not used.  The temperature is calibrated on templates that
+    the weights haven't seen, where a family has several, and on the other half of the corpus' paragraphs.
     """
     rng = np.random.default_rng(seed)
     names = [*sorted(TEMPLATES), UNKNOWN]
-    lines, labels, whole = [], [], bodies()
+    lines, labels, whole, aside = [], [], bodies(), []
     for k, name in enumerate(names[:-1]):
-        for t in TEMPLATES[name]:
-            for _ in range(40):
-                words = [w for w in t.split() if rng.random() > 0.08] or t.split()
-                lines.append(" ".join(words))
-                labels.append(k)
-        for t in whole.get(name, []):
-            for _ in range(4):
+        for i, (t, times) in enumerate([*((t, 40) for t in TEMPLATES[name]), *((t, 4) for t in whole.get(name, []))]):
+            for _ in range(times):
                 lines.append(" ".join([w for w in t.split() if rng.random() > 0.08] or t.split()))
                 labels.append(k)
-    # Documents whose hash is least: found by their ids alone, so that no task sorts texts.
+                aside.append(i % 4 == 2)
+    # A bound on the hash of the id chooses about `sample` documents: nothing is sorted, and no text moves.
     rows = texts(docs, key, text).where("text is not null")
-    ids = rows.orderBy(F.xxhash64("doc_id", F.length("text")), "doc_id").select("doc_id").limit(sample).distinct()  # at most `sample` rows
+    n = rows.count()
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    chosen_rows = rows.where(draw < F.lit(int((1 << 30) * min(1.0, sample / max(n, 1)))))
     paragraphs = F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0)
-    chosen = rows.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", paragraphs.alias("p")).where(F.size("p") > 0)
+    chosen = chosen_rows.select("doc_id", paragraphs.alias("p")).where(F.size("p") > 0)
     # A whole text gives one paragraph, chosen by its own hash; rows that repeat an id give one together.
     line = F.get("p", F.pmod(F.xxhash64("doc_id"), F.size("p").cast("long")).cast("int"))
     picked = chosen.groupBy("doc_id").agg(F.min(line).alias("line")).orderBy("doc_id")
@@ -239,23 +238,34 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int =
         if own and max(len(own & t) for t in known) < 0.3 * len(own):
             lines.append(r.line)
             labels.append(len(names) - 1)
+            aside.append(len(lines) % 2 == 0)
     y = np.array(labels)
     bucket, owner, *_ = features(pa.array([x.replace("\n", " ") for x in lines]))
     size = np.bincount(owner, minlength=len(lines))
     used, col = np.unique(bucket, return_inverse=True)
     value = 1 / np.sqrt(size[owner])
-    train = np.arange(len(y)) % 2 == 0
-    w, b = np.zeros((len(names), len(used))), np.zeros(len(names))
-    share = np.bincount(y, minlength=len(names))
-    each = train / np.maximum(share[y], 1)
-    for _ in range(120):
-        z = np.stack([np.bincount(owner, weights=value * w[k][col], minlength=len(y)) for k in range(len(names))]) + b[:, None]
-        g = (_softmax(z) - np.eye(len(names))[:, y]) * each
-        for k in range(len(names)):
-            w[k] -= 4 * (np.bincount(col, weights=value * g[k][owner], minlength=len(used)) + 1e-5 * w[k])
-        b -= 1.0 * g.sum(1)
+    aside = np.array(aside)
+
+    def weights(train):
+        w, b = np.zeros((len(names), len(used))), np.zeros(len(names))
+        share = np.bincount(y, weights=train, minlength=len(names))
+        each = train / np.maximum(share[y], 1)
+        for _ in range(120):
+            z = scores(w, b)
+            g = (_softmax(z) - np.eye(len(names))[:, y]) * each
+            for k in range(len(names)):
+                w[k] -= 4 * (np.bincount(col, weights=value * g[k][owner], minlength=len(used)) + 1e-5 * w[k])
+            b -= 1.0 * g.sum(1)
+        return w, b
+
+    def scores(w, b):
+        return np.stack([np.bincount(owner, weights=value * w[k][col], minlength=len(y)) for k in range(len(names))]) + b[:, None]
+
+    # The temperature comes from weights that haven't seen the templates it is measured on; all are used in the end.
+    z = scores(*weights(~aside))
     heats = np.geomspace(0.05, 4, 20)
-    loss = [-np.log(np.maximum(_softmax(z / t)[y, np.arange(len(y))], 1e-12))[~train].mean() for t in heats]
+    loss = [-np.log(np.maximum(_softmax(z / t)[y, np.arange(len(y))], 1e-12))[aside].mean() if aside.any() else 0.0 for t in heats]
+    w, b = weights(np.ones(len(y), bool))
     full = np.zeros((len(names), BUCKETS))
     full[:, used] = w
     return Model(names, full, b, float(heats[int(np.argmin(loss))]))
@@ -301,14 +311,15 @@ def scan(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
     """(doc_id, n_paragraphs, hits): the confirmed licence paragraphs and windows of every whole text.
 
     ``start`` and ``stop`` are byte positions in the UTF-8 text.  A null or empty text has no
-    paragraphs; repeated rows give repeated rows.
+    paragraphs; repeated rows give repeated rows, also without an id.  Of families with equal
+    probability the first by name is meant.  A text of any length is read whole, those above 4 MB one
+    at a time.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model, Passages()))
 
     def run(batches):
         m, passages = shared.value
         known = {f: [bigrams(t) for t in v] for f, v in TEMPLATES.items()}
-        # Only paragraphs whose best family beats unknown need probabilities: score differences decide.
         for b in (part for batch in batches for part in W.parts(batch)):
             found = _words(b.column("text"))
             bucket, owner, doc, lo, hi = features(None, found)

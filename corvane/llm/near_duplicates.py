@@ -216,7 +216,7 @@ def _used(chunk: Chunk, replies: Replies, bits: int):
     return s, use, keys, index, central
 
 
-NODES = "doc_id long, rep long, n_shingles long, shingles binary, entries array<struct<leader:long,step:int,sigs:array<long>>>, sketch_0 array<long>, sketch_1 array<long>"
+NODES = "doc_id long, rep long, n_shingles long, shingles binary, entries array<struct<leader:long,step:int,n:long,sigs:array<long>>>, sketch_0 array<long>, sketch_1 array<long>"
 
 
 def _passes(bits: int):
@@ -229,23 +229,23 @@ def _passes(bits: int):
         owner = s.owner[use]
         order = np.lexsort((chunk.ids[owner], -central[owner], index))
         lead = owner[order[np.searchsorted(index[order], np.arange(len(keys)))]]
-        return keys, (central[lead], chunk.ids[lead])
+        return keys, (central[lead], chunk.ids[lead], np.bincount(index, minlength=len(keys)))
 
     def nodes(chunk: Chunk, replies: Replies) -> pa.Table:
         """A row per document; representatives with a candidate carry their set, its signatures by leader, and sketches."""
         s, use, _, index, _ = _used(chunk, replies, bits)
         got, n = replies[1], len(chunk.ids)
         step, sig, owner = s.step[use], s.sig[use].astype(np.int64), s.owner[use]
-        lead = got[2][index] if got is not None else owner[:0]
+        lead, many = (got[1][index], got[2].astype(np.int64)[index]) if got is not None else (owner[:0], owner[:0])
         equal = chunk.ids.copy()
         equal[owner[step == 2]] = lead[step == 2]  # a set that another chunk has too, under a lesser id, is looked at there
         mine = np.flatnonzero((step < 2) & (equal[owner] == chunk.ids[owner]))
         mine = mine[np.lexsort((lead[mine], step[mine], owner[mine]))]
-        owner, step, sig, lead = owner[mine], step[mine], sig[mine], lead[mine]
+        owner, step, sig, lead, many = owner[mine], step[mine], sig[mine], lead[mine], many[mine]
         new = np.ones(len(owner), bool)
         new[1:] = (owner[1:] != owner[:-1]) | (step[1:] != step[:-1]) | (lead[1:] != lead[:-1])
         at = np.flatnonzero(new)
-        entries = pa.StructArray.from_arrays([pa.array(lead[at], pa.int64()), pa.array(step[at], pa.int32()), pa.ListArray.from_arrays(pa.array(np.append(at, len(owner)), pa.int32()), pa.array(sig))], ["leader", "step", "sigs"])
+        entries = pa.StructArray.from_arrays([pa.array(lead[at], pa.int64()), pa.array(step[at], pa.int32()), pa.array(np.maximum.reduceat(many, at) if len(at) else many, pa.int64()), pa.ListArray.from_arrays(pa.array(np.append(at, len(owner)), pa.int32()), pa.array(sig))], ["leader", "step", "n", "sigs"])
         edge = np.searchsorted(owner[at], np.arange(n + 1))
         some = np.flatnonzero(np.diff(edge))
         whole = np.zeros(n, bool)
@@ -264,21 +264,8 @@ def _passes(bits: int):
     return pass0, pass1, nodes
 
 
-def _copies(pairs: DataFrame, c: str) -> DataFrame:
-    """(c, copies): into how many copies the set of each document of a column of pairs goes."""
-    return pairs.groupBy(c).agg(F.ceil(F.count("*") / F.lit(PER_COPY)).cast("int").alias("copies"))
-
-
-def _with_set(pairs: DataFrame, sets: DataFrame, c: str) -> DataFrame:
-    """``pairs`` with the set ``s_c`` of the document in column ``c``; one in very many pairs is dealt to several tasks."""
-    copies = _copies(pairs, c)
-    dealt = pairs.join(copies.where("copies > 1"), c, "left").withColumn("copy", F.coalesce(F.pmod(F.xxhash64("a", "b"), F.col("copies")), F.lit(0)).cast("int")).drop("copies")
-    own = sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s_{c}")).join(copies, c).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
-    return dealt.join(own, [c, "copy"]).drop("copy")
-
-
-def _linked(pairs: DataFrame, sets: DataFrame, alike=ALIKE) -> DataFrame:
-    """The pairs (a, b) whose sets are alike enough, compared element by element."""
+def _alike(pairs: DataFrame, alike=ALIKE) -> DataFrame:
+    """The (a, b) of rows (a, b, s_a, s_b) whose sets are alike enough, compared element by element."""
     num, den = alike
 
     def compare(batches):
@@ -291,7 +278,40 @@ def _linked(pairs: DataFrame, sets: DataFrame, alike=ALIKE) -> DataFrame:
                 keep.append(den * inter >= num * (len(x) + len(y) - inter))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return _with_set(_with_set(pairs, sets, "b"), sets, "a").select("a", "b", "s_a", "s_b").mapInArrow(compare, "a long, b long")
+    return pairs.select("a", "b", "s_a", "s_b").mapInArrow(compare, "a long, b long")
+
+
+def _copy(of: str, copies):
+    return F.pmod(F.xxhash64(of), copies).cast("int").alias("copy")
+
+
+def _led(some: DataFrame) -> DataFrame:
+    """(a, b, s_a, s_b) of every document b and each leader a of its signatures.
+
+    A document's set goes along with it.  A leader's goes into as many copies as the documents of its
+    signatures need, at PER_COPY for each, so that no task has to meet all of a large group.
+    """
+    copies = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(PER_COPY)))
+    met = some.select(F.col("doc_id").alias("b"), F.col("shingles").alias("s_b"), F.explode(F.map_entries(F.map_from_entries(F.transform(F.array_distinct("entries.leader"), lambda x: F.struct(x, F.array_max(F.transform(F.filter("entries", lambda e: e["leader"] == x), lambda e: e["n"]))))))).alias("e"))
+    met = met.select("b", "s_b", F.col("e.key").alias("a"), F.col("e.value").alias("n")).where("a <> b").withColumn("copy", _copy("b", copies(F.col("n"))))
+    own = F.array_max(F.transform(F.filter("entries", lambda e: e["leader"] == F.col("doc_id")), lambda e: e["n"]))
+    leaders = some.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s_a"), own.alias("n")).where("n is not null")
+    leaders = leaders.select("a", "s_a", F.explode(F.sequence(F.lit(0), (copies(F.col("n")) - 1).cast("int"))).alias("copy"))
+    return met.join(leaders, ["a", "copy"])
+
+
+def _with_sets(pairs: DataFrame, some: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b, s_a, s_b) of stored pairs; a document in very many of them is dealt to several tasks."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.ceil(F.count("*") / F.lit(PER_COPY)).cast("int").alias("copies"))
+    ends = scratch.store(ends, "ends")
+    sets = scratch.store(some.select("doc_id", "shingles").join(ends, "doc_id"), "sets")
+    for c, other in (("a", "b"), ("b", "a")):
+        of = ends.select(F.col("doc_id").alias(c), F.col("copies").alias(f"copies_{c}"))
+        pairs = pairs.join(of, c).withColumn(f"copy_{c}", F.pmod(F.xxhash64(other), f"copies_{c}").cast("int")).drop(f"copies_{c}")
+    for c in ("a", "b"):
+        own = sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s_{c}"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias(f"copy_{c}"))
+        pairs = pairs.join(own, [c, f"copy_{c}"])
+    return pairs
 
 
 def _may_link(alike=ALIKE):
@@ -316,21 +336,23 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", **exchange) -
             bits = min(64, max(42, int(ex.n_bytes).bit_length() + 12))
             pass0, pass1, visit = _passes(bits)
             ex.ask(0, pass0, ["sum"], bits, finish=lambda x: [np.minimum(x[0], 255)])
-            ex.ask(1, pass1, ["max", "least at max"], bits)
+            ex.ask(1, pass1, ["max", "least at max", "sum"], bits, finish=lambda x: x[1:])
             nodes = scratch.store(ex.visit(visit, NODES), "nodes")
         some = nodes.where(F.size("entries") > 0)
-        sets = some.select("doc_id", "shingles")
-        led = scratch.store(some.select(F.col("doc_id").alias("node"), F.explode("entries.leader").alias("leader")).distinct(), "led")
+        led = scratch.store(some.select(F.col("doc_id").alias("node"), F.explode(F.array_distinct("entries.leader")).alias("leader")), "led")
         tried = led.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-        links = scratch.store(_linked(tried, sets).unionByName(nodes.where("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))), "links")
+        links = scratch.store(_alike(_led(some)).unionByName(nodes.where("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))), "links")
         labels = components(links, scratch)
         # Signatures with a document that isn't in its leader's component: the pairs across components remain.
         label = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
         named = scratch.store(led.join(label("node"), "node", "left").join(label("leader"), "leader", "left").select("node", "leader", F.coalesce("node_label", "node").alias("label"), F.coalesce("leader_label", "leader").alias("leader_label")), "named")
         apart = named.where("label <> leader_label").select("leader").distinct()
         met = named.join(apart, "leader", "left_semi")
-        each = some.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("entries").alias("e")).select("node", "n", F.col("e.leader").alias("leader"), F.col("e.step").alias("step"), F.col("e.sigs").alias("sigs"))
-        member = scratch.store(each.join(met, ["node", "leader"]).select("node", "n", "step", "label", "leader_label", F.explode("sigs").alias("sig")), "member")
+        # A node has few leaders, each once.
+        about = met.groupBy("node").agg(F.first("label").alias("label"), F.map_from_entries(F.collect_list(F.struct("leader", "leader_label"))).alias("leaders"))
+        each = some.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "entries").join(about, "node").select("node", "n", "label", "leaders", F.explode("entries").alias("e"))
+        each = each.withColumn("leader_label", F.try_element_at("leaders", F.col("e.leader"))).where("leader_label is not null")
+        member = scratch.store(each.select("node", "n", F.col("e.step").alias("step"), "label", "leader_label", F.explode("e.sigs").alias("sig")), "member")
         open_ = member.join(member.where("label <> leader_label").select("sig").distinct(), "sig", "left_semi")
         sketched = some.select(F.col("doc_id").alias("node"), F.posexplode(F.array("sketch_0", "sketch_1")).alias("step", "sk"))
         left = scratch.store(open_.join(sketched, ["node", "step"]).select("sig", "node", "label", F.col("n").alias("n_a"), F.col("sk").alias("sk_a")), "open")
@@ -338,7 +360,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", **exchange) -
         pairs = left.join(other, (left["sig"] == other["sig"]) & (F.col("label") < F.col("label_2")) & _may_link())
         pairs = pairs.select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")).distinct()
         pairs = pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-        more = scratch.store(_linked(scratch.store(pairs, "left"), sets), "links")
+        more = scratch.store(_alike(_with_sets(scratch.store(pairs, "left"), some, scratch)), "links")
         if more.limit(1).count():
             labels = components(links.unionByName(more), scratch)
         found = nodes.select("doc_id", "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))

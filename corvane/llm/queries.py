@@ -83,10 +83,10 @@ END_OF_DOCUMENT = 50256
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from corvane.llm.token_counts import scan, token_blocks
+    from corvane.llm.token_counts import id_width, scan, token_blocks
 
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    rows = scan(token_blocks(_documents(spark, sf_dir), ranks, pattern, END_OF_DOCUMENT), END_OF_DOCUMENT)
+    rows = scan(token_blocks(_documents(spark, sf_dir), ranks, pattern, END_OF_DOCUMENT), END_OF_DOCUMENT, id_width(ranks, pattern, END_OF_DOCUMENT))
     return rows.select(F.col("tag").alias("doc_id"), "n_tokens", "ended")
 
 

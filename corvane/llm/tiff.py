@@ -134,6 +134,10 @@ def unlzw(data: bytes) -> bytes:
     return b"".join(out)
 
 
+#: Bytes of a page at most, and those per byte of its file, beyond which a header is taken to be false.
+MOST_PIXELS, MOST_TIMES = 1 << 30, 2048
+
+
 PACK = {NONE: bytes, LZW: lzw, PACKBITS: packbits, DEFLATE: lambda x: zlib.compress(x, 1)}
 UNPACK = {NONE: bytes, LZW: unlzw, PACKBITS: unpackbits, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress}
 
@@ -193,9 +197,13 @@ def read_tiff(data: bytes):
         seen.add(at)
         (n,) = struct.unpack_from(order + "H", data, at)
         tags = {}
+        if len(data) < at + 6 + 12 * n:
+            raise ValueError("a directory lies outside the file")
         for k in range(n):
             tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
             if kind in FIELD:
+                if count > len(data):
+                    raise ValueError("a field lies outside the file")
                 form = f"{order}{count}{FIELD[kind]}"
                 where = at + 10 + 12 * k
                 if struct.calcsize(form) > 4:
@@ -214,10 +222,19 @@ def _pixels(data: bytes, tags: dict) -> np.ndarray:
         raise ValueError("unknown compression or predictor")
     unpack = UNPACK[one(COMPRESSION, 1)]
     tiled = TILE_OFFSETS in tags
-    bw, bh = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (w, min(one(ROWS_PER_STRIP, h), h))
-    out = np.empty((h, w, s), np.uint8)
+    bw, bh = (one(TILE_WIDTH, 0), one(TILE_HEIGHT, 0)) if tiled else (w, min(one(ROWS_PER_STRIP, h), h))
+    if min(bw, bh, s) < 1:
+        raise ValueError("a size of zero")
     across = -(-w // bw)
-    for k, (at, size) in enumerate(zip(tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_BYTES if tiled else STRIP_BYTES])):
+    blocks = list(zip(tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_BYTES if tiled else STRIP_BYTES]))
+    if len(blocks) != across * -(-h // bh):
+        raise ValueError("strips or tiles are missing, or too many")
+    if any(at + size > len(data) for at, size in blocks):
+        raise ValueError("a strip or tile lies outside the file")
+    if max(w * h, bw * bh) * s > MOST_PIXELS or w * h * s > len(data) * MOST_TIMES:
+        raise ValueError("more pixels than a file of this size can hold")
+    out = np.empty((h, w, s), np.uint8)
+    for k, (at, size) in enumerate(blocks):
         y, x = k // across * bh, k % across * bw
         rows = bh if tiled else min(bh, h - y)
         raw = np.frombuffer(unpack(data[at : at + size]), np.uint8)
@@ -236,8 +253,9 @@ PAGE = "page long, width long, height long, samples long, compression string, pr
 def pages(media: DataFrame, column: str = "media", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per page of every TIFF in ``column``, with the ``keep`` columns.
 
-    Null media and media that can't be read give one row with a null page and the reason in
-    ``error``; pages before a broken directory are still returned.
+    Null media and media that can't be read, for any reason, give one row with a null page and the
+    reason in ``error``; pages before a broken directory are still returned.  A page with missing
+    strips or tiles is an error, never half a picture.  Repeated rows give repeated pages.
     """
     kept = media.select(*keep, column)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), PAGE])
@@ -262,7 +280,7 @@ def pages(media: DataFrame, column: str = "media", keep: tuple[str, ...] = ("doc
                             n += 1
                         if not n:
                             raise ValueError("no page")
-                    except (ValueError, KeyError, IndexError, TypeError, struct.error, zlib.error) as e:
+                    except (ValueError, KeyError, IndexError, TypeError, ArithmeticError, MemoryError, struct.error, zlib.error) as e:
                         rows.append((None, None, None, None, None, None, None, size, sha, str(e) or type(e).__name__))
                         of.append(k)
                 kinds = [pa.int64()] * 4 + [pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string()]

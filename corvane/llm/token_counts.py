@@ -13,23 +13,34 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.frames import texts
-from corvane.llm.tokens import rank_pieces
+from corvane.llm.tokens import rank_encoding, rank_pieces
 
 SUMMARY = "file long, block long, n_ids long, seps array<long>, tags array<long>"
 
 
+def id_width(ranks: str, pattern: str, end_id: int) -> int:
+    """Bytes of an id in a flat file; raises ValueError if ``end_id`` is a rank itself."""
+    known = set(rank_encoding(ranks, pattern)[1].values())
+    if end_id in known or end_id < 0:
+        raise ValueError(f"{end_id} is a token's rank, so it can't end documents")
+    return 2 if max(end_id, *known) < 1 << 16 else 4
+
+
 def token_blocks(docs: DataFrame, ranks: str, pattern: str, end_id: int, block_ids: int = 1 << 20, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(file, block, data, tags): the flat token stream of each input partition, cut into blocks anywhere.
 
-    Every document's ids are followed by ``end_id``.  ``tags`` is the writer's log: the ids of the
-    documents that end in a block, in order.  A null text counts as empty.
+    Every document's ids are followed by ``end_id``, which must not be a rank.  Ids take two bytes if
+    all ranks and ``end_id`` fit, else four (see ``id_width``).  ``tags`` is the writer's log: the ids
+    of the documents that end in a block, in order.  A null text counts as empty; repeated rows, and
+    rows without an id, are documents like any other.
     """
+    width = id_width(ranks, pattern, end_id)
 
     def run(batches):
         from pyspark import TaskContext
 
         pieces, file = rank_pieces(ranks, pattern), TaskContext.get().partitionId()
-        dtype = "<u2" if end_id < 1 << 16 else "<u4"
+        dtype = f"<u{width}"
         held, ends, tags, block = [], [], [], 0
         size = 0
 

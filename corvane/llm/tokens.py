@@ -10,6 +10,7 @@ ids are gathered by index.
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -123,6 +124,50 @@ class Pieces:
         return ids, total[np.searchsorted(edge, offs)]
 
 
+#: Characters from which on a text is cut at safe boundaries before it is encoded, and a run of white space by itself.
+LONG, LONG_RUN = 1 << 16, 1 << 12
+#: White space as the pattern means it: Unicode's property of that name (fixed values).
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_RUN = re.compile(f"[{WHITE}]{{{LONG_RUN},}}")
+
+
+def split_safely(text: str, longest: int = LONG) -> list[tuple[str, bool]]:
+    """(piece, whether it is one match of the pattern): pieces whose ids, one after the other, are those of the text.
+
+    A long run of white space is one match without its last character, or whole at the text's end;
+    the regex engine's stack would overflow on it.  Elsewhere pieces have about ``longest`` bytes and
+    cuts lie only before a space that follows a character that isn't white space; a part without such
+    a place stays whole.
+    """
+    if len(text) <= min(longest, LONG_RUN):
+        return [(text, False)]
+    out, done = [], 0
+    for run in _RUN.finditer(text):
+        stop = run.end() if run.end() == len(text) else run.end() - 1
+        out += [*_at_spaces(text[done : run.start()], longest), (text[run.start() : stop], True)]
+        done = stop
+    return out + _at_spaces(text[done:], longest)
+
+
+def _at_spaces(text: str, longest: int) -> list[tuple[str, bool]]:
+    if len(text) <= longest:
+        return [(text, False)] if text else []
+    raw = np.frombuffer(text.encode("utf-8"), np.uint8)
+    at = cuts(raw)
+    if not len(at):
+        return [(text, False)]
+    chosen = at[np.unique(np.searchsorted(at, np.arange(longest, len(raw), longest)).clip(max=len(at) - 1))]
+    edge = [0, *chosen.tolist(), len(raw)]
+    data = raw.tobytes()
+    return [(str(data[a:b], "utf-8"), False) for a, b in zip(edge, edge[1:])]
+
+
+def encode_text(enc, text: str) -> np.ndarray:
+    """The ids that the pattern and ranks of a tiktoken encoding give a text of any length."""
+    ids = [np.asarray(enc._encode_single_piece(x) if one else enc.encode_ordinary(x), np.uint32) for x, one in split_safely(text)]
+    return np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+
+
 @lru_cache(4)
 def bpe_pieces(path: str) -> Pieces:
     """Pieces encoded by the tokenizers library from a byte-level BPE file; special strings are ordinary text."""
@@ -156,4 +201,4 @@ def rank_pieces(path: str, pattern: str) -> Pieces:
     n_bytes = np.zeros(max(ranks.values()) + 1, np.int64)
     for token, i in ranks.items():
         n_bytes[i] = len(token)
-    return Pieces(lambda texts: [enc.encode_ordinary(x) for x in texts], n_bytes)
+    return Pieces(lambda texts: [encode_text(enc, x) for x in texts], n_bytes)
