@@ -216,7 +216,7 @@ def _used(chunk: Chunk, replies: Replies, bits: int):
     return s, use, keys, index, central
 
 
-NODES = "doc_id long, rep long, n_shingles long, shingles binary, entries array<struct<leader:long,step:int,n:long,sigs:array<long>>>, sketch_0 array<long>, sketch_1 array<long>"
+NODES = "doc_id long, rep long, n_shingles long, shingles binary, entries array<struct<leader:long,name:int,n:long,sigs:array<long>>>, band int, sketch_0 array<long>, sketch_1 array<long>"
 
 
 def _passes(bits: int):
@@ -245,7 +245,7 @@ def _passes(bits: int):
         new = np.ones(len(owner), bool)
         new[1:] = (owner[1:] != owner[:-1]) | (step[1:] != step[:-1]) | (lead[1:] != lead[:-1])
         at = np.flatnonzero(new)
-        entries = pa.StructArray.from_arrays([pa.array(lead[at], pa.int64()), pa.array(step[at], pa.int32()), pa.array(np.maximum.reduceat(many, at) if len(at) else many, pa.int64()), pa.ListArray.from_arrays(pa.array(np.append(at, len(owner)), pa.int32()), pa.array(sig))], ["leader", "step", "n", "sigs"])
+        entries = pa.StructArray.from_arrays([pa.array(lead[at], pa.int64()), pa.array((s.band[owner] + step)[at], pa.int32()), pa.array(np.maximum.reduceat(many, at) if len(at) else many, pa.int64()), pa.ListArray.from_arrays(pa.array(np.append(at, len(owner)), pa.int32()), pa.array(sig))], ["leader", "name", "n", "sigs"])
         edge = np.searchsorted(owner[at], np.arange(n + 1))
         some = np.flatnonzero(np.diff(edge))
         whole = np.zeros(n, bool)
@@ -258,7 +258,7 @@ def _passes(bits: int):
         return pa.table({
             "doc_id": pa.array(chunk.ids, pa.int64()), "rep": pa.array(equal[s.rep] if n else chunk.ids, pa.int64()), "n_shingles": pa.array(s.m, pa.int64()),
             "shingles": pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary()),
-            "entries": pa.ListArray.from_arrays(pa.array(edge, pa.int32()), entries), "sketch_0": sketch[0], "sketch_1": sketch[1],
+            "entries": pa.ListArray.from_arrays(pa.array(edge, pa.int32()), entries), "band": pa.array(s.band, pa.int32()), "sketch_0": sketch[0], "sketch_1": sketch[1],
         })
 
     return pass0, pass1, nodes
@@ -281,23 +281,35 @@ def _alike(pairs: DataFrame, alike=ALIKE) -> DataFrame:
     return pairs.select("a", "b", "s_a", "s_b").mapInArrow(compare, "a long, b long")
 
 
-def _copy(of: str, copies):
-    return F.pmod(F.xxhash64(of), copies).cast("int").alias("copy")
+def _copies(n):
+    """How many copies of a leader ``n`` documents of its signatures need."""
+    return F.greatest(F.lit(1), F.ceil(n / F.lit(PER_COPY))).cast("int")
 
 
-def _led(some: DataFrame) -> DataFrame:
-    """(a, b, s_a, s_b) of every document b and each leader a of its signatures.
+def _entries(some: DataFrame, what: str) -> DataFrame:
+    """A row per document b and leader a of its signatures of one name: (a, b, name, n_b, copy, ``what``)."""
+    e = some.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), "band", "sketch_0", "sketch_1", F.explode("entries").alias("e"))
+    sketch = F.when(F.col("e.name") == F.col("band"), F.col("sketch_0")).otherwise(F.col("sketch_1"))
+    what = sketch.alias("sk_b") if what == "sketch" else F.col(f"e.{what}")
+    return e.select(F.col("e.leader").alias("a"), "b", F.col("e.name").alias("name"), "n_b", F.pmod(F.xxhash64("b"), _copies(F.col("e.n"))).cast("int").alias("copy"), what)
 
-    A document's set goes along with it.  A leader's goes into as many copies as the documents of its
-    signatures need, at PER_COPY for each, so that no task has to meet all of a large group.
-    """
-    copies = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(PER_COPY)))
-    met = some.select(F.col("doc_id").alias("b"), F.col("shingles").alias("s_b"), F.explode(F.map_entries(F.map_from_entries(F.transform(F.array_distinct("entries.leader"), lambda x: F.struct(x, F.array_max(F.transform(F.filter("entries", lambda e: e["leader"] == x), lambda e: e["n"]))))))).alias("e"))
-    met = met.select("b", "s_b", F.col("e.key").alias("a"), F.col("e.value").alias("n")).where("a <> b").withColumn("copy", _copy("b", copies(F.col("n"))))
+
+def _leaders(some: DataFrame, *columns: str) -> DataFrame:
+    """(a, copy, ...): the documents that lead signatures, in as many copies as those need at PER_COPY for each."""
     own = F.array_max(F.transform(F.filter("entries", lambda e: e["leader"] == F.col("doc_id")), lambda e: e["n"]))
-    leaders = some.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s_a"), own.alias("n")).where("n is not null")
-    leaders = leaders.select("a", "s_a", F.explode(F.sequence(F.lit(0), (copies(F.col("n")) - 1).cast("int"))).alias("copy"))
-    return met.join(leaders, ["a", "copy"])
+    return some.where(own.isNotNull()).select(F.col("doc_id").alias("a"), *columns, F.explode(F.sequence(F.lit(0), _copies(own) - 1)).alias("copy"))
+
+
+def _near_leaders(some: DataFrame) -> DataFrame:
+    """(a, b, copy): documents and leaders that their sketches don't prove unlike."""
+    leaders = _leaders(some, "n_shingles", "band", "sketch_0", "sketch_1").select("a", "copy", F.col("n_shingles").alias("n_a"), F.posexplode(F.array("sketch_0", "sketch_1")).alias("step", "sk_a"), "band").withColumn("name", F.col("band") + F.col("step"))
+    met = _entries(some, "sketch").where("a <> b").join(leaders.drop("band", "step"), ["a", "name", "copy"]).where(_may_link())
+    return met.groupBy("a", "b").agg(F.min("copy").alias("copy"))
+
+
+def _led(near: DataFrame, some: DataFrame) -> DataFrame:
+    """(a, b, s_a, s_b) of stored pairs of a leader and a document, which has few."""
+    return near.join(some.select(F.col("doc_id").alias("b"), F.col("shingles").alias("s_b")), "b").join(_leaders(some, "shingles").withColumnRenamed("shingles", "s_a"), ["a", "copy"])
 
 
 def _with_sets(pairs: DataFrame, some: DataFrame, scratch: Scratch) -> DataFrame:
@@ -339,27 +351,25 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", **exchange) -
             ex.ask(1, pass1, ["max", "least at max", "sum"], bits, finish=lambda x: x[1:])
             nodes = scratch.store(ex.visit(visit, NODES), "nodes")
         some = nodes.where(F.size("entries") > 0)
-        led = scratch.store(some.select(F.col("doc_id").alias("node"), F.explode(F.array_distinct("entries.leader")).alias("leader")), "led")
-        tried = led.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-        links = scratch.store(_alike(_led(some)).unionByName(nodes.where("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))), "links")
+        near = scratch.store(_near_leaders(some), "near")
+        links = scratch.store(_alike(_led(near, some)).unionByName(nodes.where("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))), "links")
         labels = components(links, scratch)
         # Signatures with a document that isn't in its leader's component: the pairs across components remain.
-        label = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
-        named = scratch.store(led.join(label("node"), "node", "left").join(label("leader"), "leader", "left").select("node", "leader", F.coalesce("node_label", "node").alias("label"), F.coalesce("leader_label", "leader").alias("leader_label")), "named")
-        apart = named.where("label <> leader_label").select("leader").distinct()
-        met = named.join(apart, "leader", "left_semi")
-        # A node has few leaders, each once.
-        about = met.groupBy("node").agg(F.first("label").alias("label"), F.map_from_entries(F.collect_list(F.struct("leader", "leader_label"))).alias("leaders"))
-        each = some.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "entries").join(about, "node").select("node", "n", "label", "leaders", F.explode("entries").alias("e"))
-        each = each.withColumn("leader_label", F.try_element_at("leaders", F.col("e.leader"))).where("leader_label is not null")
-        member = scratch.store(each.select("node", "n", F.col("e.step").alias("step"), "label", "leader_label", F.explode("e.sigs").alias("sig")), "member")
-        open_ = member.join(member.where("label <> leader_label").select("sig").distinct(), "sig", "left_semi")
-        sketched = some.select(F.col("doc_id").alias("node"), F.posexplode(F.array("sketch_0", "sketch_1")).alias("step", "sk"))
-        left = scratch.store(open_.join(sketched, ["node", "step"]).select("sig", "node", "label", F.col("n").alias("n_a"), F.col("sk").alias("sk_a")), "open")
+        label = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+        led = scratch.store(_entries(some, "n").select("a", "b").distinct().join(label("a"), "a", "left").join(label("b"), "b", "left").select("a", "b", F.coalesce("label_a", "a").alias("label_a"), F.coalesce("label_b", "b").alias("label_b")), "led")
+        apart = led.where("label_a <> label_b").select("a", "b")
+        # A leader's open signatures are some of its own, so their list is no longer than it.
+        signed = _entries(some, "sigs")
+        open_ = signed.join(apart, ["a", "b"]).select("a", F.explode("sigs").alias("sig")).distinct().groupBy("a").agg(F.collect_list("sig").alias("open"))
+        open_ = scratch.store(open_.join(_leaders(some), "a"), "open")
+        member = signed.join(open_, ["a", "copy"]).select("b", "name", F.explode(F.array_intersect("sigs", "open")).alias("sig"))
+        known = some.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_a"), F.posexplode(F.array("sketch_0", "sketch_1")).alias("step", "sk_a"), "band").withColumn("name", F.col("band") + F.col("step")).drop("step", "band")
+        named = member.join(label("b"), "b", "left").join(known, ["b", "name"]).select("sig", F.col("b").alias("node"), F.coalesce("label_b", "b").alias("label"), "n_a", "sk_a")
+        left = scratch.store(named, "members")
         other = left.select("sig", F.col("node").alias("node_2"), F.col("label").alias("label_2"), F.col("n_a").alias("n_b"), F.col("sk_a").alias("sk_b"))
         pairs = left.join(other, (left["sig"] == other["sig"]) & (F.col("label") < F.col("label_2")) & _may_link())
         pairs = pairs.select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")).distinct()
-        pairs = pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+        pairs = pairs.join(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
         more = scratch.store(_alike(_with_sets(scratch.store(pairs, "left"), some, scratch)), "links")
         if more.limit(1).count():
             labels = components(links.unionByName(more), scratch)
