@@ -32,6 +32,8 @@ from corvane.llm.frames import Scratch
 SHINGLE = 5
 #: Similarity of a link as a fraction.
 ALIKE = (3, 4)
+#: 64-bit words of the brief sketch that pairs are first judged by.
+BRIEF = 16
 #: Pairs that one copy of a document's set is compared in, on average; beyond it there are more copies.
 PER_COPY = 256
 
@@ -187,12 +189,12 @@ class _Signed:
         return np.concatenate(out_o), np.concatenate(out_s)
 
     def sketches(self, docs: np.ndarray, step: int) -> pa.Array:
-        """Parities of the elements of these documents' sets in buckets, two to four times as many as the largest set of the name has.
+        """Parities of the elements of these documents' sets in buckets, one to two times as many as the largest set of the name has.
 
         Where two sketches differ, the sets do at least as often.
         """
         tops = np.array(bands_to(int(self.band.max(initial=0)) + step))[self.band[docs] + step]
-        n_bits = np.maximum(64, 1 << np.ceil(np.log2(2 * tops)).astype(np.int64))
+        n_bits = np.maximum(64, 1 << np.ceil(np.log2(1.1 * tops)).astype(np.int64))
         base = np.concatenate([[0], np.cumsum(n_bits)])
         size = self.m[docs]
         at = np.repeat(self.start[docs] - (np.cumsum(size) - size), size) + np.arange(size.sum())
@@ -245,7 +247,8 @@ def _passes(bits: int):
         new = np.ones(len(owner), bool)
         new[1:] = (owner[1:] != owner[:-1]) | (step[1:] != step[:-1]) | (lead[1:] != lead[:-1])
         at = np.flatnonzero(new)
-        entries = pa.StructArray.from_arrays([pa.array(lead[at], pa.int64()), pa.array((s.band[owner] + step)[at], pa.int32()), pa.array(np.maximum.reduceat(many, at) if len(at) else many, pa.int64()), pa.ListArray.from_arrays(pa.array(np.append(at, len(owner)), pa.int32()), pa.array(sig))], ["leader", "name", "n", "sigs"])
+        third = many > 2  # of two documents with a signature one is the leader, so that no other pair has it
+        entries = pa.StructArray.from_arrays([pa.array(lead[at], pa.int64()), pa.array((s.band[owner] + step)[at], pa.int32()), pa.array(np.maximum.reduceat(many, at) if len(at) else many, pa.int64()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(third)])[np.append(at, len(owner))], pa.int32()), pa.array(sig[third]))], ["leader", "name", "n", "sigs"])
         edge = np.searchsorted(owner[at], np.arange(n + 1))
         some = np.flatnonzero(np.diff(edge))
         whole = np.zeros(n, bool)
@@ -326,12 +329,27 @@ def _with_sets(pairs: DataFrame, some: DataFrame, scratch: Scratch) -> DataFrame
     return pairs
 
 
-def _may_link(alike=ALIKE):
-    """Whether two sets under one signature can be linked, by sizes and sketches; false only if they certainly aren't."""
+def _brief(sketch: str, c: str) -> list:
+    """The columns ``c``0, ``c``1, ... of a sketch folded to BRIEF words, a shorter one filled up with zeros."""
+    fold = lambda k: F.aggregate(F.filter(sketch, lambda x, i: i % BRIEF == k), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x))
+    return [fold(k).alias(f"{c}{k}") for k in range(BRIEF)]
+
+
+def _may_link(a: str = "n_a sk_a", b: str = "n_b sk_b", brief: tuple[str, str] | None = None, alike=ALIKE):
+    """Whether two sets under one signature can be linked, by sizes and sketches; false only if they certainly aren't.
+
+    ``brief`` names the columns of brief sketches, which are judged first and much the faster; where
+    they say all, the whole sketches are null.
+    """
     num, den = alike
-    n_a, n_b = F.col("n_a"), F.col("n_b")
-    differ = F.aggregate(F.zip_with("sk_a", "sk_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return (n_a * den >= n_b * num) & (n_b * den >= n_a * num) & (differ * (den + num) <= (n_a + n_b) * (den - num))
+    (n_a, sk_a), (n_b, sk_b) = (map(F.col, x.split()) for x in (a, b))
+    few = lambda differ: differ * (den + num) <= (n_a + n_b) * (den - num)
+    differ = F.aggregate(F.zip_with(sk_a, sk_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    sizes = (n_a * den >= n_b * num) & (n_b * den >= n_a * num)
+    if brief is None:
+        return sizes & few(differ)
+    first = sum((F.bit_count(F.col(f"{brief[0]}{k}").bitwiseXOR(F.col(f"{brief[1]}{k}"))) for k in range(BRIEF)), F.lit(0))
+    return sizes & few(first) & F.coalesce(few(differ), F.lit(True))
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", **exchange) -> DataFrame:
@@ -363,12 +381,14 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", **exchange) -
         open_ = signed.join(apart, ["a", "b"]).select("a", F.explode("sigs").alias("sig")).distinct().groupBy("a").agg(F.collect_list("sig").alias("open"))
         open_ = scratch.store(open_.join(_leaders(some), "a"), "open")
         member = signed.join(open_, ["a", "copy"]).select("b", "name", F.explode(F.array_intersect("sigs", "open")).alias("sig"))
-        known = some.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_a"), F.posexplode(F.array("sketch_0", "sketch_1")).alias("step", "sk_a"), "band").withColumn("name", F.col("band") + F.col("step")).drop("step", "band")
-        named = member.join(label("b"), "b", "left").join(known, ["b", "name"]).select("sig", F.col("b").alias("node"), F.coalesce("label_b", "b").alias("label"), "n_a", "sk_a")
-        left = scratch.store(named, "members")
-        other = left.select("sig", F.col("node").alias("node_2"), F.col("label").alias("label_2"), F.col("n_a").alias("n_b"), F.col("sk_a").alias("sk_b"))
-        pairs = left.join(other, (left["sig"] == other["sig"]) & (F.col("label") < F.col("label_2")) & _may_link())
-        pairs = pairs.select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")).distinct()
+        known = some.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n"), F.posexplode(F.array("sketch_0", "sketch_1")).alias("step", "sk"), "band").withColumn("name", F.col("band") + F.col("step"))
+        known = known.select("b", "name", "n", F.when(F.size("sk") > BRIEF, F.col("sk")).alias("sk"), *_brief("sk", "q"))
+        named = scratch.store(member.join(label("b"), "b", "left").select("sig", "b", "name", F.coalesce("label_b", "b").alias("label")), "members")
+        mixed = named.groupBy("sig").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("n > 2 and lo < hi").select("sig")
+        left = named.join(mixed, "sig", "left_semi").join(known, ["b", "name"]).select("sig", F.col("b").alias("node"), "label", "n", "sk", *(f"q{k}" for k in range(BRIEF)))
+        # The same rows on both sides, so that they are shuffled once.
+        pairs = left.alias("x").join(left.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.label") < F.col("y.label")) & _may_link("x.n x.sk", "y.n y.sk", ("x.q", "y.q")))
+        pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         pairs = pairs.join(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
         more = scratch.store(_alike(_with_sets(scratch.store(pairs, "left"), some, scratch)), "links")
         if more.limit(1).count():
