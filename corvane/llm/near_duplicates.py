@@ -194,7 +194,7 @@ class _Signed:
         Where two sketches differ, the sets do at least as often.
         """
         tops = np.array(bands_to(int(self.band.max(initial=0)) + step))[self.band[docs] + step]
-        n_bits = np.maximum(64, 1 << np.ceil(np.log2(1.1 * tops)).astype(np.int64))
+        n_bits = np.maximum(64 * BRIEF, 1 << np.ceil(np.log2(1.1 * tops)).astype(np.int64))
         base = np.concatenate([[0], np.cumsum(n_bits)])
         size = self.m[docs]
         at = np.repeat(self.start[docs] - (np.cumsum(size) - size), size) + np.arange(size.sum())
