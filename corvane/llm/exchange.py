@@ -26,7 +26,7 @@ from corvane.llm.frames import Scratch, texts
 
 #: Bytes of text in a chunk, and in what one group of keys stands for, on average.
 CHUNK_BYTES = 6 << 20
-GROUP_BYTES = 24 << 20
+GROUP_BYTES = 12 << 20
 #: Groups that a chunk deals its keys to at once, at most; beyond it keys go by way of batches of chunks.
 FAN = 1 << 10
 

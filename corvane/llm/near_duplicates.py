@@ -32,6 +32,8 @@ from corvane.llm.frames import Scratch
 SHINGLE = 5
 #: Similarity of a link as a fraction.
 ALIKE = (3, 4)
+#: Bytes of text in a chunk: a set has more signatures than elements, and the arrays for them must fit.
+CHUNK_BYTES = 4 << 20
 #: 64-bit words of the brief sketch that pairs are first judged by.
 BRIEF = 16
 #: Pairs that one copy of a document's set is compared in, on average; beyond it there are more copies.
@@ -361,7 +363,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", **exchange) -
     """
     spark = docs.sparkSession
     with Scratch(spark) as scratch:
-        with Scratch(spark) as own, Exchange(docs, own, key=key, text=text, **exchange) as ex:
+        with Scratch(spark) as own, Exchange(docs, own, key=key, text=text, **{"size": CHUNK_BYTES} | exchange) as ex:
             # So many bits that signatures of different sets seldom have one name; it would cost a comparison.
             bits = min(64, max(42, int(ex.n_bytes).bit_length() + 12))
             pass0, pass1, visit = _passes(bits)
