@@ -11,6 +11,7 @@ as common as can be is one entry per chunk.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import struct
 import uuid
@@ -26,7 +27,7 @@ from corvane.llm.frames import Scratch, texts
 
 #: Bytes of text in a chunk, and in what one group of keys stands for, on average.
 CHUNK_BYTES = 6 << 20
-GROUP_BYTES = 12 << 20
+GROUP_BYTES = 8 << 20
 #: Groups that a chunk deals its keys to at once, at most; beyond it keys go by way of batches of chunks.
 FAN = 1 << 10
 
@@ -115,6 +116,13 @@ def _load_keys(data: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
     return out, numbers
 
 
+def tidy() -> None:
+    """Gives back what the arrays of the chunk or group before have left in this worker, which lives on."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 # Chunks.
 
 
@@ -264,11 +272,13 @@ class Exchange:
             def alone(batches):
                 for b in batches:
                     for c, body in zip(b.column("chunk").to_pylist(), b.column("body")):
+                        tidy()
                         yield from f(c, read(body.as_py()), Replies(None)).to_batches()
 
             return self.chunks.select("chunk", "body").mapInArrow(alone, schema)
 
         def both(left: pa.Table, right: pa.Table) -> pa.Table:
+            tidy()
             return f(left.column("chunk")[0].as_py(), read(left.column("body")[0].as_py()), Replies(right))
 
         known = self.replies if passes is None else self.replies.where(F.col("pass").isin(list(passes)))
@@ -314,6 +324,7 @@ class Exchange:
             return pa.table({"chunk": chunks, "pass": pa.array([number] * len(bodies), pa.int32()), "grp": pa.array([grp] * len(bodies), pa.int64()), "body": pa.array(out, pa.binary()), "n_keys": pa.array([n_keys, *rest], pa.int64()), "total": pa.array([total, *map(float, rest)], pa.float64())})
 
         def combine(t: pa.Table) -> pa.Table:
+            tidy()
             t = t.sort_by("chunk")
             bodies = [x.as_py() for x in t.column("body")]
             _, answers, group, first, size = merged(bodies, ops)
