@@ -93,6 +93,12 @@ def batch(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", i
                 take = min(k, s.shape[1])
                 edge = np.partition(sign * s, take - 1, axis=1)[:, take - 1 : take]
                 qi, xi = np.nonzero(sign * s <= edge)
+                # Of equal scores the lesser ids, so that a batch gives k rows per query whatever its ties.
+                order = np.lexsort((ids[xi], sign * s[qi, xi], qi))
+                qi, xi = qi[order], xi[order]
+                first = np.searchsorted(qi, qi)
+                few = np.arange(len(qi)) - first < take
+                qi, xi = qi[few], xi[few]
                 yield pd.DataFrame({"qid": qid[qi], "id": ids[xi], "score": s[qi, xi]})
 
         found = rows.select(id_col, vector).mapInPandas(best, f"qid {qid_type}, id {id_type}, score double")

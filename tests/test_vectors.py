@@ -129,3 +129,10 @@ def test_every_group_of_a_graph_is_searched(spark):
     q = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(0, 30, 7)], "qid long, q array<double>")
     got = ann.search_graph(groups, ann.build_graph(groups), q, 1, metric="euclidean").collect()
     assert sorted((r.qid, r.id) for r in got) == [(i, i) for i in range(0, 30, 7)]
+
+
+def test_batch_search_gives_k_of_equal_vectors(spark):
+    rows = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(300)], "id long, embedding array<double>").coalesce(1)
+    q = spark.createDataFrame([(1, [1.0, 2.0]), (2, [0.0, 1.0])], "qid long, q array<double>")
+    got = knn.batch(rows, q, 3, "euclidean").collect()
+    assert sorted((r.qid, r.id, r["rank"]) for r in got) == [(x, i, i + 1) for x in (1, 2) for i in range(3)]
