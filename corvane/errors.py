@@ -51,3 +51,7 @@ class ArchiveError(CorvaneError):
 
 class LockTimeout(CorvaneError, TimeoutError):
     pass
+
+
+class Conflict(CorvaneError):
+    """Another writer changed the collection meanwhile; nothing was done."""

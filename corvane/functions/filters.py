@@ -35,19 +35,35 @@ def field(metadata: Column, name: str) -> tuple[Column, Column]:
     return number, text
 
 
-def _compare(number: Column, text: Column, op: str, value) -> Column:
+def whole_number(metadata: Column, name: str) -> Column:
+    """A whole number of at most 38 digits as such, as doubles can't tell those beyond 2^53 apart; null for all else."""
+    path = f"$['{check_field(name)}']"
+    kind = F.schema_of_variant(F.try_variant_get(metadata, path, "variant"))
+    return F.when(kind.rlike(r"^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL\(\d+,0\))"), F.try_variant_get(metadata, path, "decimal(38,0)"))
+
+
+def _ordered(mine: Column, op: str, v: Column) -> Column:
+    return {"eq": mine == v, "gt": mine > v, "gte": mine >= v, "lt": mine < v, "lte": mine <= v}[op]
+
+
+def _compare(number: Column, whole: Column, text: Column, op: str, value) -> Column:
     known = number.isNotNull() | text.isNotNull()
     if value is None:
         return F.lit(None).cast("boolean")
     if isinstance(value, (bool, int, float)):
-        mine, other, first = number, text, F.lit(op in ("gt", "gte"))
-        value = float(value)
+        if isinstance(value, float) and value.is_integer():
+            value = int(value)
+        try:
+            same = _ordered(number, op, F.lit(float(value)))
+        except OverflowError:
+            raise FilterError("a number must be within the range of a double") from None
+        if isinstance(value, int) and abs(value) < 10**38:
+            same = F.when(whole.isNotNull(), _ordered(whole, op, F.lit(str(int(value))).cast("decimal(38,0)"))).otherwise(same)
+        other, first = text, F.lit(op in ("gt", "gte"))
     elif isinstance(value, str):
-        mine, other, first = text, number, F.lit(op in ("lt", "lte"))
+        same, other, first = _ordered(text, op, F.lit(value)), number, F.lit(op in ("lt", "lte"))
     else:
         raise FilterError(f"a value must be a number, a string or a boolean, not {type(value).__name__}")
-    v = F.lit(value)
-    same = {"eq": mine == v, "gt": mine > v, "gte": mine >= v, "lt": mine < v, "lte": mine <= v}[op]
     across = F.lit(False) if op == "eq" else first
     return F.when(known, F.when(other.isNotNull(), across).otherwise(same))
 
@@ -60,6 +76,7 @@ def parse_filter(spec: dict, metadata: str | Column = "metadata") -> Column:
     parts = []
     for name, want in spec.items():
         number, text = field(source, name)
+        whole = whole_number(source, name)
         clauses = want if isinstance(want, dict) else {"eq": want}
         if not clauses:
             raise FilterError(f"no operator for {name!r}")
@@ -69,7 +86,7 @@ def parse_filter(spec: dict, metadata: str | Column = "metadata") -> Column:
             if op == "in":
                 if not isinstance(value, (list, tuple)) or not value:
                     raise FilterError("'in' needs a list that isn't empty")
-                parts.append(reduce(lambda a, b: a | b, (_compare(number, text, "eq", v) for v in value)))
+                parts.append(reduce(lambda a, b: a | b, [_compare(number, whole, text, "eq", v) for v in value]))
             else:
-                parts.append(_compare(number, text, op, value))
+                parts.append(_compare(number, whole, text, op, value))
     return reduce(lambda a, b: a & b, parts, F.lit(True))

@@ -158,25 +158,29 @@ def search_graph(groups: DataFrame, edges: DataFrame, queries: DataFrame, k: int
     """
     check_search(k, ef)
     uniform = (F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) + 1) / F.lit(float(1 << 30))
-    points = groups.select("cell", "shard", F.col(id_col).alias("id"), F.col(vector).alias("v"), layer_of(uniform, m).alias("layer"))
+    points = groups.select("cell", "shard", F.col(id_col).alias("id"), F.col(vector).alias("v"), layer_of(uniform, m).alias("layer"), F.lit(False).alias("dead"))
+    if skip is not None:
+        points = points.drop("dead").join(skip.select("id", F.lit(True).alias("gone")).distinct(), "id", "left").withColumn("dead", F.col("gone").isNotNull()).drop("gone")
     wanted = queries.select("qid", "q")
     group = ["cell", "shard"]
     best = (best_first(metric), "id")
     within, order = Window.partitionBy("qid", *group).orderBy(*best), Window.partitionBy("qid").orderBy(*best)
-    top = lambda f, n: f.withColumn("rank", F.row_number().over(within)).where(F.col("rank") <= n).drop("rank")
+    # Skipped rows are ranked by themselves, so that they never push out one that may be returned.
+    each = Window.partitionBy("qid", *group, "dead").orderBy(*best)
+    top = lambda f, n, by=within: f.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= n).drop("rank")
     flat = points.groupBy(group).agg(F.max("layer").alias("highest")).where("highest < 1")
     upper = points.where("layer >= 1").unionByName(points.join(F.broadcast(flat), group, "left_semi"))
-    beam = top(upper.crossJoin(F.broadcast(wanted)).select("qid", *group, "id", score(metric, "v", "q").alias("score")), entries)
+    beam = top(upper.crossJoin(F.broadcast(wanted)).select("qid", *group, "id", "dead", score(metric, "v", "q").alias("score")), entries)
     seen = beam
     for _ in range(rounds):
         step = beam.join(edges.withColumnRenamed("node", "id"), [*group, "id"]).select("qid", *group, F.col("other").alias("id")).distinct()
         fresh = step.join(seen.select("qid", *group, "id"), ["qid", *group, "id"], "left_anti")
-        scored = fresh.join(points.select(*group, "id", "v"), [*group, "id"]).join(wanted, "qid").select("qid", *group, "id", score(metric, "v", "q").alias("score"))
-        seen = top(seen.unionByName(scored), max(ef, 4 * k)).checkpoint() if groups.sparkSession.sparkContext.getCheckpointDir() else top(seen.unionByName(scored), max(ef, 4 * k))
+        scored = fresh.join(points.select(*group, "id", "v", "dead"), [*group, "id"]).join(wanted, "qid").select("qid", *group, "id", "dead", score(metric, "v", "q").alias("score"))
+        seen = top(seen.unionByName(scored), max(ef, 4 * k), each)
+        if groups.sparkSession.sparkContext.getCheckpointDir():
+            seen = seen.checkpoint()
         beam = top(seen, ef)
-    if skip is not None:
-        seen = seen.join(skip.select("id"), "id", "left_anti")
-    return seen.select("qid", "id", "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return seen.where("not dead").select("qid", "id", "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def entry_point(nodes: DataFrame, dead: DataFrame) -> DataFrame:

@@ -23,10 +23,17 @@ def percentiles(rows: DataFrame, column: str) -> DataFrame:
     return rows.agg(at.alias("p"), F.min(column).alias("min"), F.max(column).alias("max")).select(F.get("p", F.lit(0)).alias("p50"), F.get("p", F.lit(1)).alias("p95"), F.get("p", F.lit(2)).alias("p99"), "min", "max")
 
 
-def monotonicity_violations(rows: DataFrame, group: str, order: str, value: str, tolerance: float = 0.0) -> DataFrame:
-    """Neighbours in order whose value falls by more than the tolerance."""
+def monotonicity_violations(rows: DataFrame, group: str, order: str, value: str, tolerance: float = 0.0, rising: bool = True) -> DataFrame:
+    """Neighbours in order whose value falls by more than the tolerance, or rises if it should be falling."""
     before = F.lag(value).over(Window.partitionBy(group).orderBy(order))
-    return rows.withColumn("before", before).where(F.col(value) < F.col("before") - tolerance)
+    wrong = F.col(value) < F.col("before") - tolerance if rising else F.col(value) > F.col("before") + tolerance
+    return rows.withColumn("before", before).where(wrong)
+
+
+def rates(runs: DataFrame, run: str, seconds: str) -> DataFrame:
+    """Median, least and greatest number of rows a second over the runs; ``seconds`` is what a row took."""
+    each = runs.groupBy(run).agg((F.count("*") / F.sum(seconds)).alias("rate"))
+    return each.agg(F.percentile("rate", F.lit(0.5)).alias("median"), F.min("rate").alias("min"), F.max("rate").alias("max"))
 
 
 def estimate_memory(n: int, dimension: int, m: int = 16) -> dict:

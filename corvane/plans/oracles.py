@@ -24,6 +24,9 @@ ORACLES: dict[str, str] = {
     "monotonicity_violations": "WITH b AS (SELECT *, lag(value) OVER (PARTITION BY event_type ORDER BY event_id) AS before FROM events) SELECT event_id, event_type, round(value, 6) AS value, round(before, 6) AS before FROM b WHERE value < before - 0.01",
     "estimate_memory": "WITH n AS (SELECT unnest([1, 1000, 50000, 1000000])::BIGINT AS n), g AS (SELECT n, CAST(floor(n * 256 * CASE WHEN n <= 1 THEN 1.0::DOUBLE ELSE 1 + ln(n) / ln(16) END) AS BIGINT) AS graph_bytes, n * 512 AS vector_bytes, n * 200 AS metadata_bytes FROM n) SELECT *, graph_bytes + vector_bytes + metadata_bytes AS total_bytes, round((graph_bytes + vector_bytes + metadata_bytes) / 1048576.0::DOUBLE, 6) AS total_mb FROM g",
     "filter_and": "SELECT event_id FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) > 10 AND event_type = 'click'",
+    "monotonicity_violations_falling": "WITH b AS (SELECT *, lag(value) OVER (PARTITION BY event_type ORDER BY event_id) AS before FROM events) SELECT event_id, event_type, round(value, 6) AS value, round(before, 6) AS before FROM b WHERE value > before + 0.01",
+    "query_rates": "WITH r AS (SELECT count(*) / sum(abs(value) + 1) AS rate FROM events GROUP BY event_id % 97) SELECT round(quantile_cont(rate, 0.5), 6) AS median, round(min(rate), 6) AS min, round(max(rate), 6) AS max FROM r",
+    "filter_large_numbers": "SELECT event_id FROM events WHERE event_id % 10 BETWEEN 3 AND 5",
     "filter_empty": "SELECT event_id FROM events",
     "filter_missing_field": "SELECT event_id FROM events WHERE false",
     "id_validation": "WITH i AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN replace(c_name, '#', '/') WHEN 2 THEN repeat('x', c_custkey % 1000) ELSE replace(c_name, '#', ' ') END AS id FROM customer) SELECT c_custkey, CASE WHEN id IS NULL THEN 'null_id' WHEN length(id) = 0 THEN 'empty_id' WHEN length(id) > 512 THEN 'long_id' WHEN regexp_matches(id, '[/ \\t\\n\\r]') THEN 'bad_character' END AS error FROM i",

@@ -152,6 +152,16 @@ FILTERS_MIXED = {
 QUERIES |= {k: _filter(v) for k, v in FILTERS.items()} | {k: _filter(v, True) for k, v in FILTERS_MIXED.items()}
 
 
+#: Whole numbers that a double can't tell apart.
+LARGE = 9_007_199_254_740_992
+
+
+@query
+def filter_large_numbers(spark, sf_dir):
+    rows = _events(spark, sf_dir).withColumn("metadata", F.try_parse_json(F.concat(F.lit('{"y":'), LARGE + F.col("event_id") % 10, F.lit("}"))))
+    return rows.where(parse_filter({"y": {"gt": LARGE + 2, "lte": LARGE + 5}})).select("event_id")
+
+
 @query
 def filter_and(spark, sf_dir):
     return _events(spark, sf_dir).where(parse_filter({"k": {"gt": 10}}) & (F.col("event_type") == "click")).select("event_id")
@@ -272,6 +282,18 @@ def monotonicity_violations(spark, sf_dir):
     return evaluate.monotonicity_violations(rows, "event_type", "event_id", "value", 0.01).select("event_id", "event_type", F.round("value", 6).alias("value"), F.round("before", 6).alias("before"))
 
 
+@query
+def monotonicity_violations_falling(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return evaluate.monotonicity_violations(rows, "event_type", "event_id", "value", 0.01, rising=False).select("event_id", "event_type", F.round("value", 6).alias("value"), F.round("before", 6).alias("before"))
+
+
+@query
+def query_rates(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("event_id") % 97).alias("run"), (F.abs("value") + 1).alias("seconds"))
+    return evaluate.rates(rows, "run", "seconds").select(*(F.round(c, 6).alias(c) for c in ("median", "min", "max")))
+
+
 @query
 def estimate_memory(spark, sf_dir):
     sizes = [1, 1000, 50_000, 1_000_000]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -9,6 +12,8 @@ class Files:
     def __init__(self, spark: SparkSession, root: str):
         self.jvm, self.conf = spark._jvm, spark._jsc.hadoopConfiguration()
         self.fs = self._path(root).getFileSystem(self.conf)
+        self.context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf)
+        self.no_options = spark.sparkContext._gateway.new_array(getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
 
     def _path(self, path: str):
         return self.jvm.org.apache.hadoop.fs.Path(path)
@@ -32,12 +37,23 @@ class Files:
         finally:
             stream.close()
 
-    def write(self, path: str, text: str) -> None:
-        """All or nothing: written aside, then moved into place."""
-        aside = self._path(path + ".tmp")
-        stream = self.fs.create(aside, True)
-        stream.write(bytearray(text.encode("utf-8")))
-        stream.close()
-        self.fs.delete(self._path(path), False)
-        if not self.fs.rename(aside, self._path(path)):
-            raise OSError(f"can't move {path} into place")
+    def create(self, path: str, text: str) -> bool:
+        """A new file, whole or not at all; False, and nothing done, if there is one already.
+
+        It is written aside and renamed without overwriting.  HDFS does that in one step; where the
+        store only looks and then renames, two writers in the same instant may both believe they won.
+        """
+        aside = self._path(f"{path}.{uuid.uuid4().hex}.tmp")
+        stream = self.fs.create(aside, False)
+        try:
+            stream.write(bytearray(text.encode("utf-8")))
+        finally:
+            stream.close()
+        try:
+            self.context.rename(aside, self.fs.makeQualified(self._path(path)), self.no_options)
+        except Py4JJavaError as e:
+            self.fs.delete(aside, False)
+            if e.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+                return False
+            raise
+        return True
